@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+CONTROLS = "".join(map(chr, range(0x21)))
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, through which the optimizer does not copy the columns' expressions into their uses."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def trimmed(c: Column) -> Column:
     """Without leading and trailing characters up to U+0020."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit(CONTROLS))
 
 
 def is_blank(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideledger.functions.text import is_blank, trimmed
+from tideledger.functions.text import computed_once, is_blank, trimmed
 from tideledger.functions.times import local_datetime
 
 # fixed values: statuses of the order contract
@@ -44,7 +44,7 @@ def parse_orders(raw: DataFrame) -> DataFrame:
     typed = rows.withColumn("error", error)
     for name in AMOUNTS:
         typed = typed.withColumn(name, F.col(name).try_cast(AMOUNT))
-    return typed.drop("_corrupt")
+    return computed_once(typed.drop("_corrupt"))
 
 
 def status_of(c: Column) -> Column:
@@ -75,7 +75,7 @@ def validation_error() -> Column:
 
 
 def validated(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumn("error", F.coalesce("error", validation_error()))
+    return computed_once(parsed.withColumn("error", F.coalesce("error", validation_error())))
 
 
 def split_dirty(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

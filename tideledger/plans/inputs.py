@@ -53,8 +53,10 @@ CLICKS_SQL = _fill(CLICKS, False)
 
 
 def _run(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
-    """The derivation over one table, without touching the session's catalog of names."""
-    return spark.sql(_fill(sql, True).replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    """The derivation over one table, dealt out by its key as a topic's partitions would be."""
+    keys = {"orders": "o_orderkey", "events": "user_id"}
+    dealt = spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), keys[table])
+    return spark.sql(_fill(sql, True).replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: dealt})
 
 
 def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
