@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import MIX_B, batch_tokens, checkpointed, crc_bucket, read_table, splitmix, text_bytes
+from tideledger.llm.common import MIX_B, batch_tokens, crc_bucket, read_table, splitmix, text_bytes, written
 
 CHUNK_BYTES = 8 << 20
 DEV_SHARE = 32
@@ -250,7 +250,7 @@ def _release(spark: SparkSession) -> None:
 def gather(chunked: DataFrame, buckets: int) -> DataFrame:
     """The answers to every chunk, with the totals and held-out counts of every bucket in rows without a chunk."""
     asked = chunked.groupBy("chunk").applyInArrow(_ask(buckets), REQUEST)
-    return checkpointed(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWER))
+    return written(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWER), "answers")
 
 
 def score_documents(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
