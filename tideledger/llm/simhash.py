@@ -143,6 +143,7 @@ def allocate(n: int, together: np.ndarray, groups: list[list[int]], distance: in
 
 def plan(n: int, together: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """The partitions to probe with their thresholds."""
+    n = max(n, 2)  # with no pairs every plan would be free, and the one with most keys as good as any
     options = []
     for parts in range(1, distance + 3):
         groups = correlated_groups(n, together, parts)
