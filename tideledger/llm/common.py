@@ -120,6 +120,11 @@ class _Powers:
         return np.multiply.accumulate(steps)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of POWER_BASE and of its inverse."""
+    return _Powers.upto(n)
+
+
 def _segment_tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = IS_SPACE[raw]
     edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))

@@ -2,17 +2,22 @@
 
 Texts are encoded by byte-pair merges of a given, trained model. Merges are
 taken from an agenda, best score first and leftmost among equals; when a
-candidate merge is taken, a hash keyed by seed, document and the candidate's
-place decides whether it is skipped, so that a word is cut differently in
-different places and documents, and the same way in every run. Characters that
-the model does not know become byte pieces. With dropout 0 the result is the
+candidate merge is taken, a hash keyed by seed, document, the word's place and
+the candidate's turn decides whether it is skipped, so that a word is cut
+differently in different places and documents, and the same way in every run.
+The hash is compared at 16 bits. Characters that the model does not know become
+byte pieces. With dropout 0 the result is the
 model's ordinary encoding.
 
 Merges never cross from a word to the spaces after it (checked when the model
 is loaded), so the agenda of each unit, spaces and the word after them, is
 independent: most units run side by side in numpy, taking one candidate each a
-round; units of over LONG_UNIT characters, where that would take quadratic
-time, run through a heap.
+turn; units of over LONG_UNIT characters, where that would take quadratic
+time, run through a heap. Equal units that skip in the same turns are cut
+alike, so a unit of up to MASKED_UNIT characters is worked out once for each
+set of turns it skips (turns from its length on draw from that set and its
+characters) and looked up afterwards, its characters compared. Texts are read
+in stretches that begin with a unit, so memory does not follow their length.
 
 Edge cases: a null text stays null; an empty text has no pieces; U+2581 in a
 text is coded as bytes, since as a piece it means a space; rows with equal id
@@ -24,20 +29,28 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideledger.llm.common import read_table, splitmix
+from tideledger.llm.common import powers, read_table, splitmix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 42
 LONG_UNIT = 256
-BATCH_CHARS = 1 << 17
+MASKED_UNIT = 64
+MAX_CUTS = 1 << 19
+BATCH_CHARS = 1 << 18
+GROUP_BYTES = 1 << 22
+UNIT_START = re.compile("(?<! ) ")
 SPACE_MARK = "▁"
 NEVER = np.int64(1) << 62
 OFFSET_A, OFFSET_B, OFFSET_C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -89,7 +102,9 @@ class PieceModel:
         self.merged = np.array([m[2] for m in merges], np.int32)
         self.known_piece = np.zeros(max(symbols.values()) + 1, bool)
         self.known_piece[list(known.values())] = True
-        self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.flat_bytes, self.byte_sizes = np.frombuffer(b"".join(bytes_of), np.uint8), np.array([len(b) for b in bytes_of])
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
         self._index_merges()
 
     def _index_merges(self) -> None:
@@ -120,9 +135,13 @@ class PieceModel:
             open_ = open_[~hit & (found >= 0)]
         return np.where((left >= 0) & (right >= 0), result, -1)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text: pieces joined, byte pieces as bytes, marks as spaces, without the mark put before every text."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
+        out = []
+        for low in range(0, len(ids), BATCH_CHARS):
+            part = np.asarray(ids[low : low + BATCH_CHARS])
+            out.append(self.flat_bytes[_spread(self.byte_starts[part], self.byte_sizes[part])].tobytes())
+        return b"".join(out)[1:].decode()
 
 
 @functools.lru_cache(maxsize=2)
@@ -130,20 +149,33 @@ def load(proto: bytes) -> PieceModel:
     return PieceModel(proto)
 
 
-def _skipped(key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the merge of text[left:middle] and text[middle:right] is skipped in the document of this key."""
-    if dropout <= 0:
-        return np.zeros(len(left), bool)
-    place = left.astype(np.uint64) * OFFSET_A + middle.astype(np.uint64) * OFFSET_B + right.astype(np.uint64) * OFFSET_C
-    return (splitmix(splitmix(place) ^ key) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
+def _threshold(dropout: float) -> int:
+    """How many of 65,536 equal draws skip a merge."""
+    return round(dropout * 65536)
 
 
-def merge_one(model: PieceModel, symbols: np.ndarray, first: int, key: np.uint64, dropout: float) -> tuple[list[int], list[int]]:
-    """Merge one unit that begins at character `first` of its text, by a heap; symbols and their starts."""
+def _draws(keys: np.ndarray, turn: int, threshold: int) -> np.ndarray:
+    """Whether the units of these keys skip the candidate that their agendas give in this turn."""
+    word = splitmix(keys + np.uint64((turn // 4 + 1) * int(OFFSET_A) % 2**64))
+    return ((word >> np.uint64(16 * (turn % 4))) & np.uint64(0xFFFF)) < threshold
+
+
+def skip_masks(keys: np.ndarray, turns: np.ndarray, threshold: int) -> np.ndarray:
+    """The draws of each unit's first turns as bits; keys come from seed, document and place."""
+    masks = np.zeros(len(keys), np.uint64)
+    if threshold <= 0:
+        return masks
+    for turn in range(int(turns.max(initial=0))):
+        live = np.flatnonzero(turns > turn)
+        masks[live] |= _draws(keys[live], turn, threshold).astype(np.uint64) << np.uint64(turn)
+    return masks
+
+
+def merge_one(model: PieceModel, symbols: np.ndarray, key: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
+    """Merge one long unit by a heap; symbols and their places. key: an array of one."""
     n = len(symbols)
-    sym, right, following, before = symbols.tolist(), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-    alive, agenda = [True] * n, []
-    keys = np.array([key], np.uint64)
+    sym, following, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    alive, agenda, turn = [True] * n, [], 0
 
     def offer(a: int, b: int) -> None:
         if a >= 0 and b < n:
@@ -157,25 +189,27 @@ def merge_one(model: PieceModel, symbols: np.ndarray, first: int, key: np.uint64
         _, a, b, sa, sb, at = heapq.heappop(agenda)
         if not (alive[a] and alive[b] and sym[a] == sa and sym[b] == sb and following[a] == b):
             continue
-        if _skipped(keys, np.array([first + a]), np.array([first + b]), np.array([first + right[b]]), dropout)[0]:
+        turn += 1
+        if _draws(key, turn - 1, threshold)[0]:
             continue
-        sym[a], right[a], alive[b] = int(model.merged[at]), right[b], False
+        sym[a], alive[b] = int(model.merged[at]), False
         following[a] = following[b]
         if following[a] < n:
             before[following[a]] = a
         offer(before[a], a)
         offer(a, following[a])
     live = [i for i in range(n) if alive[i]]
-    return [sym[i] for i in live], [first + i for i in live]
+    return [sym[i] for i in live], live
 
 
-def merge_units(model: PieceModel, sym: np.ndarray, unit: np.ndarray, left: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge many units at once, one candidate of each a round.
+def merge_units(model: PieceModel, sym: np.ndarray, unit: np.ndarray, masks: np.ndarray, turns: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge many units at once, one candidate of each a turn.
 
-    sym: symbols, unit: the unit of each (ascending), left: its place in its
-    text, keys: the document key of each unit. Returns symbols and their indices.
+    sym: symbols, unit: the unit of each (ascending); masks: what each unit
+    skips in its first `turns` turns, keys: what later turns draw from. Returns
+    symbols and their indices.
     """
-    index, right = np.arange(len(sym)), left + 1
+    index, turn = np.arange(len(sym)), 0
     done_sym, done_index = [], []
 
     def rank(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,15 +223,18 @@ def merge_units(model: PieceModel, sym: np.ndarray, unit: np.ndarray, left: np.n
     ranks, merges = rank(np.arange(len(sym)))
     while len(sym):
         starts = np.flatnonzero(np.diff(unit, prepend=-1))
-        place = np.arange(len(sym))
-        best = np.minimum.reduceat((ranks << 32) | place, starts)
-        at = best & 0xFFFFFFFF
+        best = np.minimum.reduceat((ranks << 32) | np.arange(len(sym)), starts)
         going = (best >> 32) < (NEVER >> 32)
-        chosen = at[going]
-        skip = _skipped(keys[unit[chosen]], left[chosen], right[chosen], right[np.minimum(chosen + 1, len(sym) - 1)], dropout)
-        ranks[chosen[skip]] = NEVER >> 32
-        chosen = chosen[~skip]
-        sym[chosen], right[chosen] = model.merged[merges[chosen]], right[chosen + 1]
+        chosen = (best & 0xFFFFFFFF)[going]
+        if threshold > 0:
+            u = unit[chosen]
+            skip = ((masks[u] >> np.uint64(min(turn, 63))) & np.uint64(1)).astype(bool)
+            later = np.flatnonzero(turns[u] <= turn)
+            skip[later] = _draws(keys[u[later]], turn, threshold)
+            ranks[chosen[skip]] = NEVER >> 32
+            chosen = chosen[~skip]
+        turn += 1
+        sym[chosen] = model.merged[merges[chosen]]
         keep = np.ones(len(sym), bool)
         keep[chosen + 1] = False
         stays = np.repeat(going, np.diff(starts, append=len(sym)))
@@ -209,7 +246,7 @@ def merge_units(model: PieceModel, sym: np.ndarray, unit: np.ndarray, left: np.n
         fresh = np.zeros(int(keep.sum()), bool)
         merged = place[chosen]
         fresh[merged], fresh[np.maximum(merged - 1, 0)] = True, True
-        sym, unit, left, right, index, ranks, merges = (x[keep] for x in (sym, unit, left, right, index, ranks, merges))
+        sym, unit, index, ranks, merges = (x[keep] for x in (sym, unit, index, ranks, merges))
         touched = np.flatnonzero(fresh)
         if len(touched):
             # a pair before a merge is new even if its left symbol was skipped with the old one
@@ -218,66 +255,196 @@ def merge_units(model: PieceModel, sym: np.ndarray, unit: np.ndarray, left: np.n
     return np.concatenate(done_sym)[order], np.concatenate(done_index)[order]
 
 
-def encode(model: PieceModel, texts: list[str], keys: np.ndarray, dropout: float = DROPOUT) -> list[np.ndarray]:
-    """Piece ids of every text; keys: one 64-bit number for each."""
-    codes = [np.frombuffer((" " + t).encode("utf-32-le"), np.uint32) if t else np.empty(0, np.uint32) for t in texts]
-    sizes = np.array([len(c) for c in codes])
-    flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    left = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    sym = model.char_id[flat]
-    space = sym == model.space
-    begins = (space & ~np.concatenate([[False], space[:-1]])) | (left == 0)
-    unit = np.cumsum(begins) - 1
-    unit_starts = np.flatnonzero(begins)
-    unit_sizes = np.diff(unit_starts, append=len(flat))
-    unit_keys = keys[owner[unit_starts]]
-    long = np.flatnonzero(unit_sizes > LONG_UNIT)
-    short = ~np.isin(unit, long) if len(long) else np.ones(len(flat), bool)
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of runs that begin at `starts`, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def cut_units(model: PieceModel, codes: np.ndarray, sizes: np.ndarray, masks: np.ndarray, turns: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of units (code points, one unit after the other), and how many each has."""
+    sym, unit = model.char_id[codes], np.repeat(np.arange(len(sizes)), sizes)
+    short = sizes[unit] <= LONG_UNIT
     places = np.flatnonzero(short)
-    got, index = merge_units(model, sym[short].copy(), unit[short], left[short], unit_keys, dropout)
-    final_sym, final_place = [got], [places[index]]
-    for u in long.tolist():
-        s, e = int(unit_starts[u]), int(unit_starts[u] + unit_sizes[u])
-        out, starts = merge_one(model, sym[s:e], int(left[s]), unit_keys[u], dropout)
-        final_sym.append(np.array(out, np.int32))
-        final_place.append(np.array(starts) - int(left[s]) + s)
-    place = np.concatenate(final_place)
+    got, index = merge_units(model, sym[short], unit[short], masks, turns, keys, threshold)
+    ids, place = [got], [places[index]]
+    starts = np.cumsum(sizes) - sizes
+    for u in np.flatnonzero(sizes > LONG_UNIT).tolist():
+        out, at = merge_one(model, sym[starts[u] : starts[u] + sizes[u]], keys[u : u + 1], threshold)
+        ids.append(np.array(out, np.int32))
+        place.append(np.array(at) + starts[u])
+    place = np.concatenate(place)
     order = np.argsort(place)
-    place, ids = place[order], np.concatenate(final_sym)[order]
-    unknown = np.flatnonzero((ids < 0) | ~model.known_piece[ids])
-    result_owner = owner[place]
-    if len(unknown):  # characters without a piece: their UTF-8 bytes
-        raw = [chr(flat[p]).encode() for p in place[unknown].tolist()]
-        counts = np.ones(len(ids), np.int64)
-        counts[unknown] = [len(r) for r in raw]
-        spread = np.repeat(ids, counts)
-        spread[np.repeat(np.isin(np.arange(len(ids)), unknown), counts)] = model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        ids, result_owner = spread, np.repeat(result_owner, counts)
-    return np.split(ids.astype(np.int32), np.searchsorted(result_owner, np.arange(1, len(texts))))
+    place, ids = place[order], np.concatenate(ids)[order]
+    counts = np.ones(len(ids), np.int64)
+    odd = (ids < 0) | ~model.known_piece[ids]
+    if odd.any():  # characters without a piece: their UTF-8 bytes
+        raw = [chr(c).encode() for c in codes[place[odd]].tolist()]
+        counts[odd] = [len(r) for r in raw]
+        ids = np.repeat(ids, counts)
+        ids[np.repeat(odd, counts)] = model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+    return ids.astype(np.int32), np.bincount(np.repeat(unit[place], counts), minlength=len(sizes))
+
+
+class _Runs:
+    """Runs of numbers, appended one after the other."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.used = np.empty(1 << 12, kind), 0
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(flat)
+
+
+class Cuts:
+    """Cuts that were worked out before, by a unit's characters and what it skips; at most about MAX_CUTS."""
+
+    def __init__(self) -> None:
+        self.index: dict[int, int] = {}
+        self.chars, self.ids = _Runs(np.uint32), _Runs(np.int32)
+
+
+class Encoder:
+    def __init__(self, model: PieceModel, dropout: float) -> None:
+        self.model, self.threshold, self.cuts = model, _threshold(dropout), Cuts()
+
+    def batch(self, texts: list[str], first: list[int], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of stretches of texts that begin with a unit, and how many each has; first: the place of each in its text."""
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+        lengths = np.array([len(c) for c in codes])
+        flat = np.concatenate(codes)
+        ends = np.cumsum(lengths)
+        space = flat == ord(" ")
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[(ends - lengths)[lengths > 0]] = True
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(starts, append=len(flat))
+        owner = np.searchsorted(ends, starts, side="right")
+        places = starts - (ends - lengths)[owner] + np.array(first, np.int64)[owner]
+        drawn = splitmix(splitmix(places.astype(np.uint64) * OFFSET_B) ^ keys[owner])
+        turns = np.where(sizes <= MASKED_UNIT, sizes - 1, 0)
+        masks = skip_masks(drawn, turns, self.threshold)
+        ids, starts_of, counts = self._cut(flat, starts, sizes, masks, turns, drawn)
+        found = ids[_spread(starts_of, counts)]
+        return found, np.bincount(np.repeat(owner, counts), minlength=len(texts))
+
+    def _cut(self, flat, starts, sizes, masks, turns, drawn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where the run of each unit begins in them and how long it is."""
+        up, down = powers(len(flat) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(flat + np.uint64(1)) * up[: len(flat)])])
+        names = splitmix((sums[starts + sizes] - sums[starts]) * down[starts] ^ splitmix(masks + OFFSET_C))
+        if len(self.cuts.index) > MAX_CUTS:
+            self.cuts = Cuts()
+        cuts, kept = self.cuts, np.flatnonzero(turns == sizes - 1)
+        entries = np.full(len(starts), -1)
+        known = names[kept].tolist()
+        entries[kept] = [cuts.index.get(k, -1) for k in known]
+        new = kept[entries[kept] < 0]
+        if len(new):
+            fresh, one = np.unique(names[new], return_index=True)
+            one = new[one]
+            chars = flat[_spread(starts[one], sizes[one])]
+            ids, counts = cut_units(self.model, chars, sizes[one], masks[one], turns[one], fresh, self.threshold)
+            cuts.index.update(zip(fresh.tolist(), range(len(cuts.chars.sizes), len(cuts.chars.sizes) + len(one)), strict=True))
+            cuts.chars.append(chars, sizes[one])
+            cuts.ids.append(ids, counts)
+            entries[new] = [cuts.index[k] for k in names[new].tolist()]
+        same = np.zeros(len(starts), bool)
+        same[kept] = cuts.chars.sizes[entries[kept]] == sizes[kept]
+        sure = np.flatnonzero(same)
+        if len(sure):  # other characters under an equal name must not share a cut
+            differ = cuts.chars.flat[_spread(cuts.chars.starts[entries[sure]], sizes[sure])] != flat[_spread(starts[sure], sizes[sure])]
+            same[sure] = ~np.logical_or.reduceat(differ, np.cumsum(sizes[sure]) - sizes[sure])
+        starts_of, counts_of = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        starts_of[same], counts_of[same] = cuts.ids.starts[entries[same]], cuts.ids.sizes[entries[same]]
+        alone = np.flatnonzero(~same)
+        found = cuts.ids.flat[: cuts.ids.used]
+        if len(alone):
+            ids, counts = cut_units(self.model, flat[_spread(starts[alone], sizes[alone])], sizes[alone], masks[alone], turns[alone], drawn[alone], self.threshold)
+            starts_of[alone], counts_of[alone] = len(found) + np.cumsum(counts) - counts, counts
+            found = np.concatenate([found, ids])
+        return found, starts_of, counts_of
+
+
+def stretches(text: str) -> Iterator[tuple[int, str]]:
+    """The text with the mark put before it, in stretches of about BATCH_CHARS that begin with a unit."""
+    marked, at = f" {text}", 0
+    while text and at < len(marked):
+        cut = UNIT_START.search(marked, at + BATCH_CHARS)
+        end = cut.start() if cut else len(marked)
+        yield at, marked[at:end]
+        at = end
 
 
 def encode_rows(model: PieceModel, texts: list[str | None], keys: np.ndarray, dropout: float) -> list[np.ndarray | None]:
-    """Encode in batches of about BATCH_CHARS characters."""
-    out: list[np.ndarray | None] = [None] * len(texts)
-    rows, size = [], 0
-    for i, t in enumerate([*texts, None]):
-        if i == len(texts) or (rows and t is not None and size + len(t) > BATCH_CHARS):
-            if rows:
-                for r, ids in zip(rows, encode(model, [texts[r] for r in rows], keys[rows], dropout), strict=True):
-                    out[r] = ids
-            rows, size = [], 0
-        if i < len(texts) and t is not None:
-            rows.append(i)
-            size += len(t)
-    return out
+    """Piece ids of every text, in batches of about BATCH_CHARS characters; keys: one 64-bit number for each."""
+    encoder = encoder_of(model, dropout)
+    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    held: list[tuple[int, int, str]] = []
+
+    def flush() -> None:
+        rows = [h[0] for h in held]
+        ids, counts = encoder.batch([h[2] for h in held], [h[1] for h in held], keys[rows])
+        for r, part in zip(rows, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            parts[r].append(part)
+        held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        for at, stretch in stretches(t or ""):
+            if held and size + len(stretch) > BATCH_CHARS:
+                flush()
+                size = 0
+            held.append((i, at, stretch))
+            size += len(stretch)
+    if held:
+        flush()
+    joined = (p[0] if len(p) == 1 else np.concatenate(p) if p else np.empty(0, np.int32) for p in parts)
+    return [None if t is None else ids for t, ids in zip(texts, joined, strict=True)]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(model: PieceModel, dropout: float) -> Encoder:
+    return Encoder(model, dropout)
+
+
+def row_groups(text: pa.Array, limit: int = GROUP_BYTES) -> Iterator[pa.Array]:
+    """Consecutive slices of about `limit` bytes, so that memory follows these and not the whole batch."""
+    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(text)]
+    for s, e in itertools.pairwise(edges):
+        if e > s:
+            yield text.slice(s, e - s)
+
+
+def _ids_array(rows: list[np.ndarray | None]) -> pa.Array:
+    return pa.array(rows, pa.list_(pa.int32()))
+
+
+def _keys_of(key: pa.Array) -> np.ndarray:
+    return key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def _encoder(proto: bytes, dropout: float):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def udf(text: pa.Array, key: pa.Array) -> pa.Array:
-        keys = key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return pa.array(encode_rows(load(proto), text.to_pylist(), keys, dropout), pa.list_(pa.int32()))
+        keys, parts, at = _keys_of(key), [], 0
+        for rows in row_groups(text):
+            parts.append(_ids_array(encode_rows(load(proto), rows.to_pylist(), keys[at : at + len(rows)], dropout)))
+            at += len(rows)
+        return _joined(parts, pa.list_(pa.int32()))
 
     return udf
 
@@ -286,7 +453,28 @@ def _decoder(proto: bytes):
     @F.arrow_udf(T.StringType())
     def udf(ids: pa.Array) -> pa.Array:
         model = load(proto)
-        return pa.array([None if row is None else model.decode(row) for row in ids.to_pylist()], pa.string())
+        return pa.array((model.decode(row.values.to_numpy()) if row.is_valid else None for row in ids), pa.string())
+
+    return udf
+
+
+CODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+
+
+def _coder(proto: bytes, dropout: float):
+    """Encodes, decodes the pieces again and compares, so that texts needn't come back from Python."""
+
+    @F.arrow_udf(CODED)
+    def udf(text: pa.Array, key: pa.Array) -> pa.Array:
+        model, keys, parts, at = load(proto), _keys_of(key), [], 0
+        kind = pa.struct([pa.field("ids", pa.list_(pa.int32())), pa.field("lossless", pa.bool_())])
+        for group in row_groups(text):
+            texts = group.to_pylist()
+            rows = encode_rows(model, texts, keys[at : at + len(texts)], dropout)
+            lossless = [t is None or model.decode(r) == t for t, r in zip(texts, rows, strict=True)]
+            parts.append(pa.StructArray.from_arrays([_ids_array(rows), pa.array(lossless, pa.bool_())], fields=list(kind)))
+            at += len(texts)
+        return _joined(parts, kind)
 
     return udf
 
@@ -307,11 +495,10 @@ def decoded(ids: Column, proto: bytes) -> Column:
 
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless): pieces of each text, and whether they decode to it."""
-    proto = read_model(model_path)
-    given = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), given.alias("_text"), encoded(given, F.col(f"`{doc_id}`"), proto, dropout, seed).alias("ids"))
-    back = rows.withColumn("_back", decoded(F.col("ids"), proto))
-    return back.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_tokens"), "ids", F.col("_back").eqNullSafe(F.col("_text")).alias("lossless"))
+    coded = _coder(read_model(model_path), dropout)(F.col(f"`{text}`"), F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`")))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), coded.alias("_coded"))
+    ids = F.col("_coded.ids")
+    return rows.select("doc_id", F.size(F.coalesce(ids, F.array().cast("array<int>"))).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("_coded.lossless").alias("lossless"))
 
 
 def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
