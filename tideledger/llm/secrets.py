@@ -9,9 +9,9 @@ Parts of credentials are spans of a text, in one of three roles:
 assign, access and hex are reported by themselves. A weak part is reported only
 if a complementary part co-occurs: an identifier or endpoint needs a secret, a
 secret needs an identifier or endpoint, within `gap` code points and in the
-same scope (a stretch of text without an empty line). The interval join runs
-inside each row, over arrays of spans: texts need no shuffle, and rows with
-equal or null ids cannot mix. `opaque` and `login` spans that overlap a base span
+same scope (a stretch of text without an empty line). The interval join is a
+sweep inside each row over its sorted spans, not a comparison of pairs: texts
+need no shuffle, and rows with equal or null ids cannot mix. `opaque` and `login` spans that overlap a base span
 are not reported again.
 
 Matches are found with positions by extracting, from the end of one match to
@@ -38,52 +38,88 @@ OPAQUE = r"[A-Za-z0-9+/_=-]{24,}"
 HOST = r"(?:(?:https?|ftps?|sftp|ssh|postgres|postgresql|mysql|redis|mongodb|amqp|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})"
 BREAK = r"\n[\x20\x09\x0D]*\n"
 
+FAR = 1 << 30  # beyond any place in a text
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 KINDS = ("assign", "access", "hex", "login", "opaque", "host")
+BASE_KINDS = (0, 1, 2)
+BREAK_KIND = len(KINDS)
 ROLES = ("secret", "identifier", "secret", "identifier", "secret", "endpoint")
 
 
-def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
-    """The leftmost non-overlapping matches whose value has at least `least` characters, as (start, end, kind)."""
+def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0, mixed: bool = False) -> Column:
+    """The leftmost non-overlapping matches whose value has at least `least` characters, as (start, end, kind).
+
+    mixed: only values with a digit and both an upper-case and a lower-case letter.
+    """
     walk = F.lit(rf"\G((?s:.*?))({pattern})")
     gaps, matches = F.regexp_extract_all(text, walk, F.lit(1)), F.regexp_extract_all(text, walk, F.lit(2))
     values = F.regexp_extract_all(text, walk, F.lit(value_group + 2)) if value_group else matches
-    rows = F.transform(F.arrays_zip(gaps, matches, values), lambda x: F.struct(F.length(x["0"]).alias("gap"), F.length(x["1"]).alias("size"), F.length(x["2"]).alias("value")))
+    rows = F.transform(F.arrays_zip(gaps, matches, values), lambda x: F.struct(F.length(x["0"]).alias("gap"), F.length(x["1"]).alias("size"), F.length(x["2"]).alias("value"), _mixed(x["2"]).alias("fits") if mixed else F.lit(True).alias("fits")))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
         found = F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((start + x["size"]).alias("at"), F.when(x["value"] >= least, F.concat(a["spans"], F.array(found))).otherwise(a["spans"]).alias("spans"))
+        return F.struct((start + x["size"]).alias("at"), F.when((x["value"] >= least) & x["fits"], F.concat(a["spans"], F.array(found))).otherwise(a["spans"]).alias("spans"))
 
     walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda a: a["spans"])
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPAN))
 
 
-def _mixed(text: Column, spans: Column) -> Column:
-    """Spans whose text has a digit and both an upper-case and a lower-case letter."""
-    value = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    return F.filter(spans, lambda s: value(s).rlike("[0-9]") & value(s).rlike("[a-z]") & value(s).rlike("[A-Z]"))
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+
+
+def _swept(events: Column, state: Column, move, flag) -> Column:
+    """`flag` of each event, given the state that the events before it left."""
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct(move(a["s"], x).alias("s"), F.concat(a["flags"], F.array(flag(a["s"], x))).alias("flags"))
+
+    return F.aggregate(events, F.struct(state.alias("s"), F.array().cast("array<boolean>").alias("flags")), step, lambda a: a["flags"])
 
 
 def _apart(spans: Column, base: Column) -> Column:
-    """Spans that overlap no base span."""
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """Spans that overlap no base span, by one sweep each way over both in order."""
+    own = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(False).alias("base")))
+    other = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(True).alias("base")))
+    events = F.array_sort(F.concat(own, other))
+    hit = _swept(events, F.lit(-1), lambda s, x: F.when(x["base"], F.greatest(s, x["end"])).otherwise(s), lambda s, x: s > x["start"])
+    back = _swept(F.reverse(events), F.lit(FAR), lambda s, x: F.when(x["base"], x["start"]).otherwise(s), lambda s, x: s < x["end"])
+    marked = F.arrays_zip(events, hit, F.reverse(back))
+    free = F.filter(marked, lambda m: ~m["0"]["base"] & ~m["1"] & ~m["2"])
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), F.transform(free, lambda m: F.struct(m["0"]["start"].alias("start"), m["0"]["end"].alias("end"), m["0"]["kind"].alias("kind")))).otherwise(spans)
 
 
 def _role(kind: Column, role: str) -> Column:
     return kind.isin(*[k for k, r in enumerate(ROLES) if r == role])
 
 
-def linked(weak: Column, parts: Column, breaks: Column, gap: int = GAP) -> Column:
-    """The weak spans that have a complementary part near them and in their scope."""
+def linked(parts: Column, breaks: Column, gap: int = GAP) -> Column:
+    """The parts but for weak ones without a complementary part near them and in their scope, in order.
+
+    A part's nearest complement decides: the one before it that reaches
+    furthest, or the next to begin after it. One sweep each way over parts and
+    breaks, which never overlap, carries both; a break forgets them.
+    """
+    events = F.array_sort(F.concat(parts, breaks))
+    secret = lambda x: _role(x["kind"], "secret")
+    is_break = lambda x: x["kind"] == BREAK_KIND
+
+    def sides(none: int, join):
+        state = F.struct(F.lit(none).alias("secret"), F.lit(none).alias("other"))
+
+        def move(s: Column, x: Column) -> Column:
+            seen = F.struct(F.when(secret(x), join(s["secret"], x)).otherwise(s["secret"]).alias("secret"), F.when(secret(x), s["other"]).otherwise(join(s["other"], x)).alias("other"))
+            return F.when(is_break(x), state).otherwise(seen)
 
-    def near(s: Column, p: Column) -> Column:
-        first, last = F.least(s["end"], p["end"]), F.greatest(s["start"], p["start"])
-        parted = F.exists(breaks, lambda b: (b["start"] >= first) & (b["end"] <= last))
-        roles = F.when(_role(s["kind"], "secret"), ~_role(p["kind"], "secret")).otherwise(_role(p["kind"], "secret"))
-        return roles & (last - first <= gap) & ~parted
+        return state, move
 
-    return F.filter(weak, lambda s: F.exists(parts, lambda p: near(s, p)))
+    complement = lambda s, x: F.when(secret(x), s["other"]).otherwise(s["secret"])
+    forward = _swept(events, *sides(-FAR, lambda a, x: F.greatest(a, x["end"])), lambda s, x: x["start"] - complement(s, x) <= gap)
+    back = _swept(F.reverse(events), *sides(FAR, lambda a, x: x["start"]), lambda s, x: complement(s, x) - x["end"] <= gap)
+    marked = F.arrays_zip(events, forward, F.reverse(back))
+    kept = F.filter(marked, lambda m: ~is_break(m["0"]) & (m["0"]["kind"].isin(*BASE_KINDS) | m["1"] | m["2"]))
+    return F.transform(kept, lambda m: m["0"])
 
 
 def _joined(spans: Column) -> Column:
@@ -101,9 +137,9 @@ def scan(docs: DataFrame, text: str = "text", gap: int = GAP) -> DataFrame:
     plain = F.array_sort(F.concat(spans_of(t, ASSIGN, 0, 2, 6), spans_of(t, ACCESS, 1, 0, 20), spans_of(t, HEX, 2)))
     based = docs.drop("base", "spans", "_weak", "_breaks").withColumn("base", plain)
     base = F.col("base")
-    weak = F.concat(_apart(spans_of(t, LOGIN, 3, 1, 3), base), _apart(_mixed(t, spans_of(t, OPAQUE, 4)), base), spans_of(t, HOST, 5))
-    found = based.withColumn("_weak", weak).withColumn("_breaks", F.when(F.size("_weak") > 0, spans_of(t, BREAK, 6)).otherwise(F.array().cast(SPAN)))
-    kept = F.when(F.size("_weak") > 0, F.array_sort(F.concat(base, linked(F.col("_weak"), F.concat(base, F.col("_weak")), F.col("_breaks"), gap)))).otherwise(base)
+    weak = F.concat(_apart(F.concat(spans_of(t, LOGIN, 3, 1, 3), spans_of(t, OPAQUE, 4, mixed=True)), base), spans_of(t, HOST, 5))
+    found = based.withColumn("_weak", weak).withColumn("_breaks", F.when(F.size("_weak") > 0, spans_of(t, BREAK, BREAK_KIND)).otherwise(F.array().cast(SPAN)))
+    kept = F.when(F.size("_weak") > 0, linked(F.concat(base, F.col("_weak")), F.col("_breaks"), gap)).otherwise(base)
     return found.withColumn("spans", kept).drop("_weak", "_breaks")
 
 
