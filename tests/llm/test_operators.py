@@ -186,6 +186,17 @@ def test_simhash_documents(docs):
     assert 0 in kept and 1 not in kept and kept.count(3) <= 1 and simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_copies_go_and_others_stay(spark):
+    base = [prose(200 + i, 300) for i in range(6)]
+    edited = [" ".join("edit" if j in (50, 170) else w for j, w in enumerate(t.split())) for t in base]
+    shuffled = " ".join(np.random.default_rng(0).permutation(base[0].split()))  # equal words, other order
+    rows = [*enumerate(base), *((10 + i, t) for i, t in enumerate(edited)), (20, shuffled), (21, shuffled), (22, base[1])]
+    sets = {d: {tuple(t.lower().split()[i : i + 5]) for i in range(296)} for d, t in rows}
+    assert all(len(sets[i] & sets[10 + i]) >= 0.8 * len(sets[i] | sets[10 + i]) for i in range(6))
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), distance=6).collect())
+    assert kept == [0, 1, 2, 3, 4, 5, 20]
+
+
 def test_pieces(docs):
     import sentencepiece
 

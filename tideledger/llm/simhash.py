@@ -47,6 +47,9 @@ SHINGLE_WORDS = 3
 SEED = 42
 DISTANCE = 2
 GROUP_LIMIT = 256
+VERIFY_WORDS = 5
+SIMILARITY = 0.8
+SALTS = 16
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -245,14 +248,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(placed.select("fp", "root").join(named, "root"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id (a null id only if none has one)."""
-    found = near_duplicates(docs, doc_id, text)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    kept = found.groupBy("root").agg(F.min(order).alias("k")).select("k._kept_id", "k._kept_hash")
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(f"`{text}`")))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
+def _shingle_sets(words: int, seed: int):
+    """The distinct hashes of a text's word shingles, for verification; none for a text without words."""
+
+    @F.arrow_udf("array<long>")
+    def udf(text: pa.Array) -> pa.Array:
+        sets = []
+        for t in text_bytes(text):
+            tokens = t.lower().split()
+            joined = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
+            sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in joined], np.uint64)).view(np.int64))
+        return pa.array(sets, pa.list_(pa.int64()))
+
+    return udf
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 1, distance: int = DISTANCE, verify_words: int = VERIFY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id (a null id only if none has one).
+
+    Candidates are the components of fingerprints of single words, which a few
+    edits hardly move. A document goes if its text equals that of another of
+    its component with a smaller id, or if its shingles of `verify_words` words
+    and those of the component's first document have a Jaccard similarity of at
+    least `similarity`; so none goes without a near copy that stays. Each
+    distinct text is compared with one other; salts spread a hot component.
+    """
+    found = near_duplicates(docs, doc_id, text, words, distance)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    each = checkpointed(found.groupBy("root", "text_hash").agg(F.min(order).alias("k")))
+    first = each.groupBy("root").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    salt = F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).cast("int")
+    others = each.join(first, "root").filter(~F.col("k").eqNullSafe(F.col("first"))).select("root", salt.alias("salt"), "k.id", "k.hash")
+    firsts = first.select("root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first.id", "first.hash")
+    column = F.col(f"`{text}`")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(column).alias("_hash"), column.alias("_text"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    wanted = others.select("id", "hash").unionByName(first.select("first.id", "first.hash"))
+    sets = checkpointed(texts.join(wanted, same, "left_semi").dropDuplicates(["_id", "_hash"]).select("_id", "_hash", _shingle_sets(verify_words, SEED)("_text").alias("set")))
+    mine = others.join(sets, same).select("root", "salt", "id", "hash", "set")
+    theirs = firsts.join(sets, same).select("root", "salt", F.col("set").alias("first_set"))
+    shared, total = F.size(F.array_intersect("set", "first_set")), F.size("set") + F.size("first_set")
+    copies = mine.join(theirs, ["root", "salt"]).filter(shared >= F.lit(similarity) * (total - shared)).select(F.col("id").alias("c_id"), F.col("hash").alias("c_hash"))
+    kept = each.select("k.id", "k.hash").join(copies, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("hash") == F.col("c_hash")), "left_anti")
+    hashed = docs.withColumn("_hash", F.xxhash64(column)).withColumn("_id", F.col(f"`{doc_id}`"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_hash", "_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
