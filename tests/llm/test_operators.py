@@ -197,6 +197,29 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == [0, 1, 2, 3, 4, 5, 20]
 
 
+def brute_kept(rows):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in rows for w in [t.lower().split()]}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return sorted(d for d in root if root[d] == d)
+
+
+def test_near_copies_of_far_fingerprints_go(spark):
+    rows = []
+    for i in range(12):
+        words = prose(300 + i, 120).split()
+        edited = [f"edit{i}" if j in (20, 90) else w for j, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    prints = [simhash.fingerprint(t.encode(), 1) for _, t in rows]
+    assert sum((prints[2 * i] ^ prints[2 * i + 1]).bit_count() > 2 for i in range(12)) >= 3
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == brute_kept(rows) == [2 * i for i in range(12)]
+
+
 def test_pieces(docs):
     import sentencepiece
 

@@ -21,7 +21,9 @@ component. The search for links:
 5. Verified groups return a spanning forest of their links, and components grow
    from those by alternating large-star and small-star steps.
 
-Only bit statistics reach the driver. Edge cases: a null text is empty; a text
+Of these only bit statistics reach the driver. `keep_one` doesn't use
+fingerprints: its near copies come from an index of shingles (`similar_texts`),
+and a table of shingle counts of fixed size reaches the driver. Edge cases: a null text is empty; a text
 without words has fingerprint zero and links like any other; a shorter text
 than a shingle is one shingle; exact copies share one fingerprint and are one
 node of the search; rows with a null doc_id take part and never name a
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import checkpointed, read_table, text_bytes
+from tideledger.llm.common import SEGMENT_BYTES, batch_tokens, byte_groups, checkpointed, read_table, splitmix, text_bytes
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -49,7 +51,11 @@ DISTANCE = 2
 GROUP_LIMIT = 256
 VERIFY_WORDS = 5
 SIMILARITY = 0.8
-SALTS = 16
+CELLS = 1 << 20
+COUNT_SHARE = 8
+BLOCK = 1024
+HOT_PAIRS = 1024
+MAX_BROADCAST = 500_000
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -248,49 +254,157 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(placed.select("fp", "root").join(named, "root"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def _shingle_sets(words: int, seed: int):
-    """The distinct hashes of a text's word shingles, for verification; none for a text without words."""
-
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's word shingles; texts without words have one shingle, the same for all."""
+    factors = splitmix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+    for low, high in byte_groups(texts, SEGMENT_BYTES):
+        hashes, counts = batch_tokens([t.lower() for t in texts[low:high]])
+        sums = np.zeros(len(hashes), np.uint64)
+        for k in range(words):
+            sums[: len(hashes) - k] += hashes[k:] * factors[k]
+        at = 0
+        for n in counts.tolist():
+            if n >= words:
+                found = sums[at : at + n - words + 1]
+            else:
+                found = np.array([(hashes[at : at + n] * factors[:n]).sum(dtype=np.uint64) + np.uint64(n)])
+            yield np.unique(splitmix(found))
+            at += n
+
+
+def _sets(words: int):
     @F.arrow_udf("array<long>")
     def udf(text: pa.Array) -> pa.Array:
-        sets = []
-        for t in text_bytes(text):
-            tokens = t.lower().split()
-            joined = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
-            sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in joined], np.uint64)).view(np.int64))
-        return pa.array(sets, pa.list_(pa.int64()))
+        return pa.array([s.view(np.int64) for s in shingle_sets(text_bytes(text), words)], pa.list_(pa.int64()))
 
     return udf
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 1, distance: int = DISTANCE, verify_words: int = VERIFY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def shingle_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """How often shingles fall into each of CELLS cells, over one text in COUNT_SHARE."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for s in shingle_sets(text_bytes(batch.column(0)), words):
+                np.add.at(counts, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
+
+    column = F.col(f"`{text}`")
+    sampled = docs.filter(F.pmod(F.xxhash64(F.xxhash64(column)), F.lit(COUNT_SHARE)) == 0).select(column)
+    found = sampled.mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def _prefixes(words: int, similarity: float, counts: np.ndarray):
+    """A text's number of shingles and the rarest of them, as many as one of any near copy's must be among."""
+
+    @F.arrow_udf("struct<n:int,prefix:array<long>>")
+    def udf(text: pa.Array) -> pa.Array:
+        sizes, prefixes = [], []
+        for s in shingle_sets(text_bytes(text), words):
+            order = np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))
+            sizes.append(len(s))
+            prefixes.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["n", "prefix"])
+
+    return udf
+
+
+def _candidates(blocks: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) across the arrays left and right of (node, n, pos, root), of other roots, that can still be similar.
+
+    A pair's first common shingle, at positions p and q, leaves at most
+    min(n - p, m - q) shingles to share.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in batch.columns:
+                offsets, flat = column.offsets.to_numpy(), column.flatten()
+                sides.append((offsets - offsets[0], [x.to_numpy(zero_copy_only=False) for x in flat.flatten()]))
+            (ls, left), (rs, right) = sides
+            for k in range(len(ls) - 1):
+                node, n, pos, root = (x[ls[k] : ls[k + 1], None] for x in left)
+                node2, n2, pos2, root2 = (x[rs[k] : rs[k + 1]] for x in right)
+                most = np.minimum(n - pos, n2 - pos2)
+                a, b = np.nonzero((root != root2) & (most >= similarity * (n + n2 - most) - 1e-9))
+                a, b = node[a, 0], node2[b]
+                found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+
+    return blocks.select("left", "right").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _verified_copies(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """The candidate pairs whose texts' shingle sets have at least the similarity; salts spread a hot text's pairs."""
+    wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").count())
+    nodes = F.broadcast(wanted.select("node")) if wanted.count() <= MAX_BROADCAST else wanted.select("node")
+    column = F.col(f"`{text}`")
+    texts = docs.select(F.xxhash64(column).alias("node"), column.alias("_text")).join(nodes, "node", "left_semi")
+    sets = checkpointed(texts.select("node", _sets(words)("_text").alias("set")).dropDuplicates(["node"]))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT_PAIRS).cast("int").alias("salts"))
+    mine = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).join(sets.select(F.col("node").alias("b"), "set"), "b")
+    hubs = salts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("set").alias("hub_set"))
+    shared, total = F.size(F.array_intersect("set", "hub_set")), F.size("set") + F.size("hub_set")
+    return checkpointed(mine.join(hubs, ["a", "salt"]).filter(shared >= F.lit(similarity) * (total - shared)).select("a", "b"))
+
+
+def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): the texts, by hash, that have near copies, with the smallest hash of their component.
+
+    All pairs of distinct texts with the similarity end in one component, by
+    prefix filters: with shingles in one order for all texts, two such texts
+    share one among the first n - ceil(similarity * n) + 1 of each. Any order
+    is right; rare shingles first makes few candidates. In the group of a
+    shingle each member is verified against one of them, and after that all
+    pairs that these links don't connect, so a cluster of near copies is not
+    compared pair by pair; blocks of pairs spread a hot group.
+    """
+    column = F.col(f"`{text}`")
+    counts = shingle_counts(docs, text, words)
+    index = docs.select(F.xxhash64(column).alias("node"), _prefixes(words, similarity, counts)(column).alias("p")).dropDuplicates(["node"])
+    rows = index.select("node", F.col("p.n").alias("n"), F.posexplode("p.prefix").alias("pos", "shingle"))
+    member = F.struct("node", "n", "pos", F.col("node").alias("root"))
+    groups = checkpointed(rows.groupBy("shingle").agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1))
+    hub = F.array(F.array_min("members"))
+    star = checkpointed(_candidates(groups.select(hub.alias("left"), F.col("members").alias("right")), similarity))
+    edges = _verified_copies(star, docs, text, words, similarity)
+    roots = checkpointed(components(edges))
+    wide = groups.filter(F.size("members") > 2).select("shingle", F.inline("members")).drop("root").withColumnRenamed("node", "m")
+    rooted = wide.join(roots, wide.m == roots.node, "left").select("shingle", F.col("m").alias("node"), "n", "pos", F.coalesce("root", "m").alias("root"))
+    open_groups = rooted.groupBy("shingle").agg(F.collect_list(F.struct("node", "n", "pos", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    last = F.floor((F.size("members") - 1) / BLOCK).cast("int")
+    at = lambda i: F.slice("members", F.col(i) * BLOCK + 1, F.lit(BLOCK))
+    blocks = open_groups.filter("low < high").withColumn("last", last).withColumn("i", F.explode(F.sequence(F.lit(0), "last"))).withColumn("j", F.explode(F.sequence("i", "last")))
+    rest = _candidates(blocks.select("shingle", "i", "j", at("i").alias("left"), at("j").alias("right")).repartition("shingle", "i", "j"), similarity)
+    rest = checkpointed(rest.join(star, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    return components(edges.unionByName(_verified_copies(rest, docs, text, words, similarity)))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 1, distance: int | None = None, verify_words: int = VERIFY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near copies, that with the smallest id (a null id only if none has one).
 
-    Candidates are the components of fingerprints of single words, which a few
-    edits hardly move. A document goes if its text equals that of another of
-    its component with a smaller id, or if its shingles of `verify_words` words
-    and those of the component's first document have a Jaccard similarity of at
-    least `similarity`; so none goes without a near copy that stays. Each
-    distinct text is compared with one other; salts spread a hot component.
+    Near copies are equal texts, and texts whose shingles of `verify_words`
+    words have a Jaccard similarity of at least `similarity`; groups are the
+    components of these links, each verified. The search is complete, so
+    `words` and `distance`, which limited it to near fingerprints, have no
+    effect any more.
     """
-    found = near_duplicates(docs, doc_id, text, words, distance)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    each = checkpointed(found.groupBy("root", "text_hash").agg(F.min(order).alias("k")))
-    first = each.groupBy("root").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    salt = F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).cast("int")
-    others = each.join(first, "root").filter(~F.col("k").eqNullSafe(F.col("first"))).select("root", salt.alias("salt"), "k.id", "k.hash")
-    firsts = first.select("root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first.id", "first.hash")
     column = F.col(f"`{text}`")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(column).alias("_hash"), column.alias("_text"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    wanted = others.select("id", "hash").unionByName(first.select("first.id", "first.hash"))
-    sets = checkpointed(texts.join(wanted, same, "left_semi").dropDuplicates(["_id", "_hash"]).select("_id", "_hash", _shingle_sets(verify_words, SEED)("_text").alias("set")))
-    mine = others.join(sets, same).select("root", "salt", "id", "hash", "set")
-    theirs = firsts.join(sets, same).select("root", "salt", F.col("set").alias("first_set"))
-    shared, total = F.size(F.array_intersect("set", "first_set")), F.size("set") + F.size("first_set")
-    copies = mine.join(theirs, ["root", "salt"]).filter(shared >= F.lit(similarity) * (total - shared)).select(F.col("id").alias("c_id"), F.col("hash").alias("c_hash"))
-    kept = each.select("k.id", "k.hash").join(copies, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("hash") == F.col("c_hash")), "left_anti")
+    order = F.struct(F.col(f"`{doc_id}`").isNull().alias("no_id"), F.col(f"`{doc_id}`").alias("id"))
+    each = checkpointed(docs.select(F.xxhash64(column).alias("hash"), order.alias("k")).groupBy("hash").agg(F.min("k").alias("k")))
+    roots = similar_texts(docs, text, verify_words, similarity)
+    grouped = each.join(roots, each.hash == roots.node, "left").select(F.coalesce("root", "hash").alias("root"), F.struct("k.no_id", "k.id", "hash").alias("k"))
+    kept = grouped.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.hash")
     hashed = docs.withColumn("_hash", F.xxhash64(column)).withColumn("_id", F.col(f"`{doc_id}`"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
     return hashed.join(kept, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_hash", "_id")
 
 
