@@ -220,6 +220,20 @@ def test_near_copies_of_far_fingerprints_go(spark):
     assert kept == brute_kept(rows) == [2 * i for i in range(12)]
 
 
+def test_copies_are_verified_with_each_other(spark, monkeypatch):
+    base = prose(400, 300).split()
+    stranger = " ".join(np.random.default_rng(1).permutation(base))  # equal words, other order: first of the component
+    rows = [(0, stranger), (1, " ".join(base)), (2, " ".join(["edit", *base[1:]]))]
+    hot = prose(401, 200).split()  # a hot group: copies of copies, so that not all are near the first
+    for k in range(24):
+        hot[8 * k] = f"edit{k}"
+        rows.append((3 + k, " ".join(hot)))
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "HOT_PAIRS", 4)
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == brute_kept(rows) == [0, 1, 3]
+
+
 def test_pieces(docs):
     import sentencepiece
 
