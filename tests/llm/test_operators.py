@@ -137,6 +137,12 @@ def test_line_templates(docs):
     assert line_templates.drop_recurring(docs).count() == docs.count() and line_templates.drop_recurring(empty(docs)).count() == 0
 
 
+def test_lines_of_numbers_stay(spark):
+    rows = [(i, f"{prose(500 + i, 12)}\n{7 * i} {i + 31} {i * i}\n2021-03-{i + 10} {i} {2 * i + 1}\nPage {i} of the yearly report") for i in range(12)]
+    kept = {r.doc_id: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[0].n_dropped == 0 and all(kept[i].n_dropped == 1 and kept[i].text == rows[i][1].rsplit("\n", 1)[0] for i in range(1, 12))
+
+
 def test_quality_features(docs):
     texts = [(t or "").encode() for t in TEXTS]
     for t, row in zip(TEXTS, quality_rules.features(texts).tolist(), strict=True):

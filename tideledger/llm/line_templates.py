@@ -5,7 +5,8 @@ line falls into the leaf of its token count and its leading tokens. Within a
 leaf a position's token is constant if at least `min_docs` documents have it
 there, and a variable field `<*>` otherwise; a line's template is what remains.
 A template recurs if at least `min_docs` documents have a line of it and at
-least `min_constant` of its positions are constant. Its lines are dropped from
+least `min_constant` of its positions hold a constant token other than `<*>`,
+so lines of nothing but numbers never recur. Its lines are dropped from
 every document but the first (the smallest doc_id), so that boilerplate goes
 and no passage is lost altogether.
 
@@ -75,7 +76,7 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "token", F.col("token").alias("kept"))
     marked = tokens.join(constant, ["leaf", "pos", "token"], "left").withColumn("part", F.struct("pos", F.coalesce("kept", F.lit(FIELD)).alias("t")))
     parts = F.transform(F.array_sort(F.collect_list("part")), lambda p: p["t"])
-    share = F.count("kept") / F.count("*")
+    share = F.count(F.when(F.col("kept") != FIELD, True)) / F.count("*")
     templates = marked.groupBy("leaf", "line").agg(F.array_join(parts, " ").alias("template"), share.alias("share")).filter(F.col("share") >= min_constant)
     filed = checkpointed(templates.join(distinct, ["leaf", "line"]).select("leaf", "template", F.xxhash64("line").alias("key"), "n_docs", "first_doc"))
     recurring = filed.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n"), F.min("first_doc").alias("template_first")).filter(F.col("n") >= min_docs)
