@@ -143,6 +143,16 @@ def test_lines_of_numbers_stay(spark):
     assert kept[0].n_dropped == 0 and all(kept[i].n_dropped == 1 and kept[i].text == rows[i][1].rsplit("\n", 1)[0] for i in range(1, 12))
 
 
+def test_lines_count_once_a_document(spark):
+    shape = lambda words: "\n".join(f"could not open file {w} again" for w in words)
+    one = lambda n, i, t: [(j, shape([f"w{chr(97 + j)}x"]) if t == "each" else shape([f"w{chr(97 + k)}x" for k in range(12)])) for j in range(i, i + n)]
+    dropped = lambda rows: sum(r.n_dropped for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert dropped(one(1, 0, "all") + one(8, 1, "each")) == 0  # nine documents, twenty lines
+    assert dropped(one(1, 0, "all") + one(9, 1, "each")) == 9
+    assert dropped([(5 if k == 3 else None, shape([f"w{chr(97 + k)}x"])) for k in range(10)]) == 9  # each null id a document
+    assert dropped([(1, t) for _, t in one(12, 0, "each")]) == 0  # rows of one id
+
+
 def test_quality_features(docs):
     texts = [(t or "").encode() for t in TEXTS]
     for t, row in zip(TEXTS, quality_rules.features(texts).tolist(), strict=True):

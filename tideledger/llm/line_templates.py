@@ -12,12 +12,14 @@ and no passage is lost altogether.
 
 Only lines of leaves with enough documents are looked at token by token, each
 distinct line once with its number of documents, so a line in a third of all
-documents is one row there. Texts move once, for the join with their own
+documents is one row there; what documents with several lines of a leaf add to
+these sums beyond one is taken off again. Texts move once, for the join with their own
 dropped lines.
 
 Edge cases: a null text has no lines and stays null; lines of fewer than
-`min_tokens` tokens stay; rows that repeat a doc_id count as documents and get
-equal decisions; a null doc_id sorts after all others; an empty table gives no
+`min_tokens` tokens stay; rows that repeat a doc_id are one document and get
+equal decisions; rows with a null doc_id are documents of their own, and sort
+after all others; an empty table gives no
 rows; other columns pass through, and n_chars, if there, becomes the new
 text's length.
 """
@@ -66,20 +68,32 @@ def parsed_lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int = MIN_
     return rows.filter(spaces(F.col("line")) >= min_tokens - 1)
 
 
+def _counted_again(rows: DataFrame, *what: str) -> DataFrame:
+    """Minus the times that documents with several of `rows` are counted too often in a sum of n_docs."""
+    return rows.groupBy(*what, "doc_id").agg((1 - F.count("*")).alias("n_docs")).filter("n_docs < 0").drop("doc_id")
+
+
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(key, first_doc) of every distinct line whose template recurs."""
     lines = parsed_lines(docs, doc_id, text).withColumn("leaf", leaf_of(F.col("line")))
     leaves = lines.groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     least = F.min("doc_id").alias("first_doc")
-    distinct = checkpointed(lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), least))
+    wide = checkpointed(lines.join(leaves, "leaf", "left_semi"))
+    distinct = checkpointed(wide.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), least))
+    crowd = wide.filter("doc_id is not null").groupBy("leaf", "doc_id").count().filter("count > 1")
+    several = checkpointed(wide.join(crowd, ["leaf", "doc_id"], "left_semi"))
     tokens = distinct.select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ", -1)).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "token", F.col("token").alias("kept"))
+    again = _counted_again(several.select("leaf", "doc_id", F.posexplode(F.split("line", " ", -1)).alias("pos", "token")), "leaf", "pos", "token")
+    held = tokens.select("leaf", "pos", "token", "n_docs").unionByName(again)
+    constant = held.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "token", F.col("token").alias("kept"))
     marked = tokens.join(constant, ["leaf", "pos", "token"], "left").withColumn("part", F.struct("pos", F.coalesce("kept", F.lit(FIELD)).alias("t")))
     parts = F.transform(F.array_sort(F.collect_list("part")), lambda p: p["t"])
     share = F.count(F.when(F.col("kept") != FIELD, True)) / F.count("*")
     templates = marked.groupBy("leaf", "line").agg(F.array_join(parts, " ").alias("template"), share.alias("share")).filter(F.col("share") >= min_constant)
     filed = checkpointed(templates.join(distinct, ["leaf", "line"]).select("leaf", "template", F.xxhash64("line").alias("key"), "n_docs", "first_doc"))
-    recurring = filed.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n"), F.min("first_doc").alias("template_first")).filter(F.col("n") >= min_docs)
+    more = _counted_again(several.withColumn("key", F.xxhash64("line")).join(filed.select("leaf", "template", "key"), ["leaf", "key"]), "leaf", "template")
+    counted = filed.select("leaf", "template", "n_docs", "first_doc").unionByName(more, allowMissingColumns=True)
+    recurring = counted.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n"), F.min("first_doc").alias("template_first")).filter(F.col("n") >= min_docs)
     return filed.join(recurring, ["leaf", "template"]).select("key", F.col("template_first").alias("first_doc"))
 
 
