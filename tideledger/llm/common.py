@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -10,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where work goes if the session names no folder and runs on one machine, as in tests.
 FALLBACK_CHECKPOINT_DIR = "/tmp/tideledger-checkpoints"
 
+#: Rows that Python workers get at a time, so that their memory follows this and not the session's default.
+BATCH_ROWS = 2000
+
 #: Bytes of text handled at a time by the vectorised tokeniser.
 SEGMENT_BYTES = 1 << 20
 
@@ -28,10 +33,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names in spark.checkpoint.dir; set one only where none is named."""
+    """Use the folder the session names in spark.checkpoint.dir; set one only where none is named and all work is on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or FALLBACK_CHECKPOINT_DIR)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -41,11 +49,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared checkpoint folder and read it again."""
+    """Write as Parquet in the shared checkpoint folder and read it again; the folder goes with the session's context."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and checkpoints that only finished work needed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether there are at most so many rows, by counting no more than that."""
+    return df.limit(most + 1).count() <= most
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Every row as one struct `row`, beside which added columns cannot clash with the input's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands Python workers at most BATCH_ROWS rows at a time."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def id_text(column: str) -> Column:
