@@ -21,9 +21,10 @@ component. The search for links:
 5. Verified groups return a spanning forest of their links, and components grow
    from those by alternating large-star and small-star steps.
 
-Of these only bit statistics reach the driver. `keep_one` doesn't use
-fingerprints: its near copies come from an index of shingles (`similar_texts`),
-and a table of shingle counts of fixed size reaches the driver. Edge cases: a null text is empty; a text
+Of these only bit statistics and a bounded sample reach the driver. `keep_one` verifies the texts of
+linked fingerprints by their shingles and completes the search by an index of
+shingles (`similar_texts`); for that a table of shingle counts of fixed size
+reaches the driver. Edge cases: a null text is empty; a text
 without words has fingerprint zero and links like any other; a shorter text
 than a shingle is one shingle; exact copies share one fingerprint and are one
 node of the search; rows with a null doc_id take part and never name a
@@ -39,22 +40,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import SEGMENT_BYTES, batch_tokens, byte_groups, checkpointed, read_table, splitmix, text_bytes
+from tideledger.llm.common import SEGMENT_BYTES, batch_tokens, byte_groups, checkpointed, few, in_small_batches, packed, read_table, release, splitmix, text_bytes, written
 
 BITS = 64
 SHINGLE_WORDS = 3
 SEED = 42
 DISTANCE = 2
-GROUP_LIMIT = 256
+GROUP_LIMIT = 4096
+#: Fingerprints whose pairs estimate how many candidates a partition gives.
+SAMPLE = 2048
 VERIFY_WORDS = 5
 SIMILARITY = 0.8
 CELLS = 1 << 20
 COUNT_SHARE = 8
 BLOCK = 1024
 HOT_PAIRS = 1024
+#: Rows of one shingle that one task may get.
+HOT_ROWS = 20_000
+#: Rows of two numbers that may be broadcast; more of them are joined by a shuffle.
 MAX_BROADCAST = 500_000
 
 
@@ -124,22 +131,37 @@ def correlated_groups(n: int, together: np.ndarray, parts: int) -> list[list[int
     return groups
 
 
-def pair_share(n: int, together: np.ndarray, group: list[int], most: int) -> list[float]:
-    """Estimated share of pairs that differ by at most 0, 1, ... `most` bits of the group."""
+def print_sample(prints: DataFrame, n: int, most: int = SAMPLE) -> np.ndarray:
+    """About `most` fingerprints, chosen by a hash; they only estimate costs."""
+    some = prints.filter(F.pmod(F.xxhash64(F.lit("sample"), "fp"), F.lit(max(1, n // most))) == 0).select("fp").limit(2 * most)
+    return np.sort(np.array([r.fp for r in some.collect()], np.int64)).view(np.uint64)
+
+
+def pair_share(n: int, together: np.ndarray, sample: np.ndarray, group: list[int], most: int) -> list[float]:
+    """Estimated share of pairs that differ by at most 0, 1, ... `most` bits of the group.
+
+    Counted over the pairs of a sample, which sees how the group's bits hang
+    together, and at least what independent bits would give, for shares that
+    are too small for a sample.
+    """
     mean = np.diag(together) / max(n, 1)
     ways = np.zeros(most + 1)
     ways[0] = 1.0
     for b in group:
         differ = 2 * mean[b] * (1 - mean[b])
         ways = ways * (1 - differ) + np.concatenate([[0.0], ways[:-1]]) * differ
-    return list(np.cumsum(ways))
+    counts, pairs = np.zeros(BITS + 1), max(1, len(sample) * (len(sample) - 1) // 2)
+    mask = np.uint64(sum(1 << b for b in group))
+    for i in range(len(sample) - 1):
+        counts += np.bincount(np.bitwise_count((sample[i + 1 :] ^ sample[i]) & mask), minlength=BITS + 1)
+    return list(np.maximum(np.cumsum(ways), np.cumsum(counts)[: most + 1] / pairs))
 
 
-def allocate(n: int, together: np.ndarray, groups: list[list[int]], distance: int, key_cost: float = 1.0, pair_cost: float = 0.05) -> tuple[float, list[int]]:
+def allocate(n: int, together: np.ndarray, sample: np.ndarray, groups: list[list[int]], distance: int, key_cost: float = 1.0, pair_cost: float = 0.01) -> tuple[float, list[int]]:
     """Thresholds (-1: not probed) whose (t + 1) sum to distance + 1, of least cost by dynamic programming."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
-        share = pair_share(n, together, group, distance)
+        share = pair_share(n, together, sample, group, distance)
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
             for t in range(-1, min(distance - used, len(group) - 1) + 1):
@@ -150,13 +172,13 @@ def allocate(n: int, together: np.ndarray, groups: list[list[int]], distance: in
     return best[distance + 1]
 
 
-def plan(n: int, together: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
+def plan(n: int, together: np.ndarray, sample: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """The partitions to probe with their thresholds."""
     n = max(n, 2)  # with no pairs every plan would be free, and the one with most keys as good as any
     options = []
     for parts in range(1, distance + 3):
         groups = correlated_groups(n, together, parts)
-        cost, thresholds = allocate(n, together, groups, distance)
+        cost, thresholds = allocate(n, together, sample, groups, distance)
         options.append((cost, parts, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
     return min(options, key=lambda o: o[:2])[2]
 
@@ -209,7 +231,7 @@ def _verified(groups: DataFrame, distance: int) -> DataFrame:
 def links(prints: DataFrame, distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within the distance, enough of them to connect every linked pair."""
     n, together = bit_statistics(prints)
-    keyed = _probe_keys(prints, plan(n, together, distance))
+    keyed = _probe_keys(prints, plan(n, together, print_sample(prints, n), distance))
     sizes = checkpointed(keyed.groupBy("probe", "value").count().filter("count > 1"))
     gathered = F.collect_list("fp").alias("members")
     small = keyed.join(sizes.filter(F.col("count") <= group_limit), ["probe", "value"]).groupBy("probe", "value").agg(gathered)
@@ -292,28 +314,54 @@ def shingle_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
 
     column = F.col(f"`{text}`")
-    sampled = docs.filter(F.pmod(F.xxhash64(F.xxhash64(column)), F.lit(COUNT_SHARE)) == 0).select(column)
+    sampled = in_small_batches(docs).filter(F.pmod(F.xxhash64(F.xxhash64(column)), F.lit(COUNT_SHARE)) == 0).select(column)
     found = sampled.mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
-def _prefixes(words: int, similarity: float, counts: np.ndarray):
-    """A text's number of shingles and the rarest of them, as many as one of any near copy's must be among."""
+def majority(hashes: np.ndarray) -> np.uint64:
+    """Bit k is set if it is set in over half of the hashes."""
+    sums = np.zeros(BITS, np.int64)
+    for low in range(0, len(hashes), 1 << 14):
+        sums += np.unpackbits(hashes[low : low + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")[0]
+
+
+SKETCH = "struct<n:int,fp:long,prefix:array<long>,salts:array<int>>"
+
+
+def _sketches(words: int, similarity: float, counts: np.ndarray):
+    """Of each text: its number of shingles, its fingerprint, and its rarest shingles, as many as one of any near copy's must be among.
+
+    salts: into how many parts the rows of each of these shingles are dealt; null if none needs more than one.
+    """
 
-    @F.arrow_udf("struct<n:int,prefix:array<long>>")
+    @F.arrow_udf(SKETCH)
     def udf(text: pa.Array) -> pa.Array:
-        sizes, prefixes = [], []
+        sizes, prints, prefixes, salts = [], [], [], []
         for s in shingle_sets(text_bytes(text), words):
-            order = np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))
+            often = counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+            order = np.lexsort((s, often))
+            order = order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+            parts = -(-often[order] * COUNT_SHARE // HOT_ROWS)
             sizes.append(len(s))
-            prefixes.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]].view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["n", "prefix"])
+            prints.append(majority(s))
+            prefixes.append(s[order].view(np.int64))
+            salts.append(np.maximum(parts, 1).astype(np.int32) if (parts > 1).any() else None)
+        columns = [pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(columns, names=["n", "fp", "prefix", "salts"])
 
     return udf
 
 
+def _can_be_similar(n: Column, pos: Column, n2: Column, pos2: Column, similarity: float) -> Column:
+    """Whether texts of n and n2 shingles whose first common one stands at these positions can reach the similarity."""
+    most = F.least(n - pos, n2 - pos2)
+    return most >= F.lit(similarity) * (n + n2 - most) - 1e-9
+
+
 def _candidates(blocks: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) across the arrays left and right of (node, n, pos, root), of other roots, that can still be similar.
 
@@ -337,13 +385,13 @@ def _candidates(blocks: DataFrame, similarity: float) -> DataFrame:
                 found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
-    return blocks.select("left", "right").mapInArrow(pairs, "a long, b long").distinct()
+    return in_small_batches(blocks).select("left", "right").mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _verified_copies(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """The candidate pairs whose texts' shingle sets have at least the similarity; salts spread a hot text's pairs."""
-    wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").count())
-    nodes = F.broadcast(wanted.select("node")) if wanted.count() <= MAX_BROADCAST else wanted.select("node")
+    wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    nodes = F.broadcast(wanted) if few(wanted, MAX_BROADCAST) else wanted
     column = F.col(f"`{text}`")
     texts = docs.select(F.xxhash64(column).alias("node"), column.alias("_text")).join(nodes, "node", "left_semi")
     sets = checkpointed(texts.select("node", _sets(words)("_text").alias("set")).dropDuplicates(["node"]))
@@ -351,61 +399,120 @@ def _verified_copies(pairs: DataFrame, docs: DataFrame, text: str, words: int, s
     mine = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).join(sets.select(F.col("node").alias("b"), "set"), "b")
     hubs = salts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("set").alias("hub_set"))
     shared, total = F.size(F.array_intersect("set", "hub_set")), F.size("set") + F.size("hub_set")
-    return checkpointed(mine.join(hubs, ["a", "salt"]).filter(shared >= F.lit(similarity) * (total - shared)).select("a", "b"))
+    found = checkpointed(mine.join(hubs, ["a", "salt"]).filter(shared >= F.lit(similarity) * (total - shared)).select("a", "b"))
+    release(docs.sparkSession)
+    return found
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
 
+def fingerprint_pairs(index: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of texts to verify, from fingerprints: each text with the first of its fingerprint, and the firsts of linked fingerprints."""
+    first = checkpointed(index.groupBy("fp").agg(F.min("node").alias("first")))
+    same = index.join(first, "fp").filter("node <> first").select(*_ordered(F.col("node"), F.col("first")))
+    linked = links(first.select("fp"), distance).select(F.col("a").alias("fp"), F.col("b").alias("fp_b"))
+    near = linked.join(first, "fp").select(F.col("first").alias("a"), F.col("fp_b").alias("fp")).join(first, "fp").select(*_ordered(F.col("a"), F.col("first")))
+    return checkpointed(same.unionByName(near).distinct())
 
-def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+
+def shingle_rows(index: DataFrame) -> DataFrame:
+    """(shingle, salt, node, n, pos, hub, hub_n, hub_pos): the rarest shingles that texts share, each text beside its group's first.
+
+    A shingle of more than HOT_ROWS texts is dealt into groups by a salt, and is listed in whole.
+    """
+    each = index.select("node", "n", "salts", F.posexplode("prefix").alias("pos", "shingle"))
+    parts = F.coalesce(F.get("salts", F.col("pos")), F.lit(1))
+    each = each.select("shingle", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"), (parts > 1).alias("hot"), "node", "n", "pos")
+    group = W.partitionBy("shingle", "salt")
+    first = F.min(F.struct("node", "n", "pos")).over(group)
+    seen = each.withColumn("first", first).withColumn("members", F.count("*").over(group)).filter("members > 1 or hot")
+    return seen.select("shingle", "salt", "node", "n", "pos", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.pos").alias("hub_pos"))
+
+
+def hub_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) to verify: each text with the first of its group, and the firsts of a shingle's groups with the first of all."""
+    near = _can_be_similar(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), similarity)
+    own = shared.filter("node <> hub").filter(near).select(*_ordered(F.col("node"), F.col("hub")))
+    hubs = shared.filter("node = hub").select("shingle", F.struct("node", "n", "pos").alias("h"))
+    firsts = hubs.groupBy("shingle").agg(F.min("h").alias("least"), F.count("*").alias("groups")).filter("groups > 1")
+    between = hubs.join(firsts, "shingle").filter("h.node <> least.node").filter(_can_be_similar(F.col("h.n"), F.col("h.pos"), F.col("least.n"), F.col("least.pos"), similarity))
+    return own.unionByName(between.select(*_ordered(F.col("h.node"), F.col("least.node")))).distinct()
+
+
+def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that no component joins yet."""
+    for c in ("a", "b"):
+        of = roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        pairs = pairs.join(of, c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    return pairs.filter("a_root <> b_root").select("a", "b")
+
+
+def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """(node, root): the texts, by hash, that have near copies, with the smallest hash of their component.
 
-    All pairs of distinct texts with the similarity end in one component, by
-    prefix filters: with shingles in one order for all texts, two such texts
-    share one among the first n - ceil(similarity * n) + 1 of each. Any order
-    is right; rare shingles first makes few candidates. In the group of a
-    shingle each member is verified against one of them, and after that all
-    pairs that these links don't connect, so a cluster of near copies is not
-    compared pair by pair; blocks of pairs spread a hot group.
+    All pairs of distinct texts with the similarity end in one component. The
+    generalised pigeonhole search finds fingerprints of the shingles within
+    `distance` bits, and their texts are verified. Fingerprints of texts at the
+    similarity itself lie some ten bits apart, beyond any search of the kind, so
+    prefix filters complete it: with shingles in one order for all texts, two similar texts share one among the first
+    n - ceil(similarity * n) + 1 of each. Any order is right; rare shingles
+    first makes few candidates. In the group of a shingle each member is
+    verified against one of them, and after that all pairs that links don't
+    connect yet, so a cluster of near copies is not compared pair by pair;
+    blocks of pairs spread a hot group.
     """
-    column = F.col(f"`{text}`")
+    spark, column = docs.sparkSession, F.col(f"`{text}`")
     counts = shingle_counts(docs, text, words)
-    index = docs.select(F.xxhash64(column).alias("node"), _prefixes(words, similarity, counts)(column).alias("p")).dropDuplicates(["node"])
-    rows = index.select("node", F.col("p.n").alias("n"), F.posexplode("p.prefix").alias("pos", "shingle"))
-    member = F.struct("node", "n", "pos", F.col("node").alias("root"))
-    groups = checkpointed(rows.groupBy("shingle").agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1))
-    hub = F.array(F.array_min("members"))
-    star = checkpointed(_candidates(groups.select(hub.alias("left"), F.col("members").alias("right")), similarity))
-    edges = _verified_copies(star, docs, text, words, similarity)
+    sketched = in_small_batches(docs).select(F.xxhash64(column).alias("node"), _sketches(words, similarity, counts)(column).alias("p")).dropDuplicates(["node"])
+    index = written(sketched.select("node", "p.*"), "sketches")
+    release(spark)
+    pairs = fingerprint_pairs(index.select("node", "fp"), distance)
+    edges = _verified_copies(pairs, docs, text, words, similarity)
+    roots = checkpointed(components(edges))
+    shared = checkpointed(shingle_rows(index))
+    release(spark)
+    star = checkpointed(unconnected(hub_pairs(shared, similarity), roots).join(pairs, ["a", "b"], "left_anti"))
+    edges = checkpointed(edges.unionByName(_verified_copies(star, docs, text, words, similarity)))
     roots = checkpointed(components(edges))
-    wide = groups.filter(F.size("members") > 2).select("shingle", F.inline("members")).drop("root").withColumnRenamed("node", "m")
-    rooted = wide.join(roots, wide.m == roots.node, "left").select("shingle", F.col("m").alias("node"), "n", "pos", F.coalesce("root", "m").alias("root"))
-    open_groups = rooted.groupBy("shingle").agg(F.collect_list(F.struct("node", "n", "pos", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    release(spark)
+    known = pairs.unionByName(star)
+    rooted = shared.join(F.broadcast(roots) if few(roots, MAX_BROADCAST) else roots, shared.node == roots.node, "left").select("shingle", shared.node, "n", "pos", F.coalesce("root", shared.node).alias("root"))
+    rooted = checkpointed(rooted)
+    unsettled = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+    groups = rooted.join(unsettled, "shingle").groupBy("shingle").agg(F.collect_list(F.struct("node", "n", "pos", "root")).alias("members"))
     last = F.floor((F.size("members") - 1) / BLOCK).cast("int")
     at = lambda i: F.slice("members", F.col(i) * BLOCK + 1, F.lit(BLOCK))
-    blocks = open_groups.filter("low < high").withColumn("last", last).withColumn("i", F.explode(F.sequence(F.lit(0), "last"))).withColumn("j", F.explode(F.sequence("i", "last")))
+    blocks = groups.withColumn("last", last).withColumn("i", F.explode(F.sequence(F.lit(0), "last"))).withColumn("j", F.explode(F.sequence("i", "last")))
     rest = _candidates(blocks.select("shingle", "i", "j", at("i").alias("left"), at("j").alias("right")).repartition("shingle", "i", "j"), similarity)
-    rest = checkpointed(rest.join(star, ["a", "b"], "left_anti"))
+    rest = checkpointed(rest.join(known, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
     return components(edges.unionByName(_verified_copies(rest, docs, text, words, similarity)))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 1, distance: int | None = None, verify_words: int = VERIFY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = VERIFY_WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """One document of each group of near copies, that with the smallest id (a null id only if none has one).
 
-    Near copies are equal texts, and texts whose shingles of `verify_words`
-    words have a Jaccard similarity of at least `similarity`; groups are the
-    components of these links, each verified. The search is complete, so
-    `words` and `distance`, which limited it to near fingerprints, have no
-    effect any more.
+    Near copies are equal texts, and texts whose shingles of `words` words have
+    a Jaccard similarity of at least `similarity`; groups are the components of
+    these links, each verified. Columns pass through whatever their names; of
+    rows with equal id and text one stays.
     """
     column = F.col(f"`{text}`")
     order = F.struct(F.col(f"`{doc_id}`").isNull().alias("no_id"), F.col(f"`{doc_id}`").alias("id"))
-    each = checkpointed(docs.select(F.xxhash64(column).alias("hash"), order.alias("k")).groupBy("hash").agg(F.min("k").alias("k")))
-    roots = similar_texts(docs, text, verify_words, similarity)
-    grouped = each.join(roots, each.hash == roots.node, "left").select(F.coalesce("root", "hash").alias("root"), F.struct("k.no_id", "k.id", "hash").alias("k"))
-    kept = grouped.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.hash")
-    hashed = docs.withColumn("_hash", F.xxhash64(column)).withColumn("_id", F.col(f"`{doc_id}`"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_hash", "_id")
+    each = checkpointed(docs.select(F.xxhash64(column).alias("hash"), order.alias("k")).groupBy("hash", "k").agg(F.count("*").alias("rows")))
+    least = each.groupBy("hash").agg(F.min(F.struct("k", "rows")).alias("m")).select("hash", "m.k", "m.rows")
+    roots = similar_texts(docs, text, words, similarity, distance)
+    grouped = least.join(roots, least.hash == roots.node, "left").select(F.coalesce("root", "hash").alias("root"), F.struct("k.no_id", "k.id", "hash", "rows").alias("k"))
+    kept = checkpointed(grouped.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.hash", "k.rows"))
+    rows = packed(docs).withColumn("row_hash", F.xxhash64(F.col(f"row.`{text}`"))).withColumn("row_id", F.col(f"row.`{doc_id}`"))
+    same = F.col("id").eqNullSafe(F.col("row_id")) & (F.col("hash") == F.col("row_hash"))
+    found = rows.join(kept.select("id", "hash"), same, "left_semi")
+    if not kept.filter("rows > 1").isEmpty():
+        found = found.dropDuplicates(["row_id", "row_hash"])
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
