@@ -40,14 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideledger.llm.common import powers, read_table, splitmix
+from tideledger.llm.common import in_small_batches, powers, read_table, splitmix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 42
 LONG_UNIT = 256
 MASKED_UNIT = 64
-MAX_CUTS = 1 << 19
+MAX_CUTS = 1 << 17
 BATCH_CHARS = 1 << 18
 GROUP_BYTES = 1 << 22
 UNIT_START = re.compile("(?<! ) ")
@@ -496,7 +496,7 @@ def decoded(ids: Column, proto: bytes) -> Column:
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless): pieces of each text, and whether they decode to it."""
     coded = _coder(read_model(model_path), dropout)(F.col(f"`{text}`"), F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`")))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), coded.alias("_coded"))
+    rows = in_small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), coded.alias("_coded"))
     ids = F.col("_coded.ids")
     return rows.select("doc_id", F.size(F.coalesce(ids, F.array().cast("array<int>"))).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("_coded.lossless").alias("lossless"))
 

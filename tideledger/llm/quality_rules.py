@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideledger.llm.common import MIX_B, batch_tokens, byte_groups, read_table, text_bytes
+from tideledger.llm.common import MIX_B, batch_tokens, byte_groups, in_small_batches, packed, read_table, text_bytes
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -156,10 +156,10 @@ def fit_votes(patterns: list[tuple[str, int]], rounds: int = 200, most_false_ala
     return {p: float(g) for (p, _), g in zip(order, posterior, strict=True)}
 
 
-def with_votes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `_f`, the features, and `_votes`, the comma-joined votes."""
-    rated = docs.withColumn("_f", _features_udf(F.col(text)))
-    return rated.withColumn("_votes", F.concat_ws(",", *[v.cast("string") for v in rule_votes("_f").values()]))
+def with_votes(rows: DataFrame, text: Column) -> DataFrame:
+    """Add `f`, the features, and `marks`, the comma-joined votes."""
+    rated = in_small_batches(rows).withColumn("f", _features_udf(text))
+    return rated.withColumn("marks", F.concat_ws(",", *[v.cast("string") for v in rule_votes("f").values()]))
 
 
 def score_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -168,22 +168,22 @@ def score_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5)
     Two passes over the text: one counts vote patterns (at most 3 to the number
     of rules, whatever the corpus size), one applies the fitted posteriors.
     """
-    counts = with_votes(docs.select(text), text).groupBy("_votes").count().collect()
-    posterior = fit_votes([(r["_votes"], r["count"]) for r in counts])
-    spark = docs.sparkSession
-    table = spark.createDataFrame(list(posterior.items()), "_votes string, p_good double")
-    rated = with_votes(docs.drop(*ADDED), text).join(F.broadcast(table), "_votes", "left")
-    f = {name: F.col(f"_f.{name}") for name in FEATURES}
+    column = F.col(f"`{text}`")
+    counts = with_votes(docs.select(column.alias("t")), F.col("t")).groupBy("marks").count().collect()
+    posterior = fit_votes([(r["marks"], r["count"]) for r in counts])
+    table = docs.sparkSession.createDataFrame(list(posterior.items()), "marks string, p double")
+    rated = with_votes(packed(docs), F.col(f"row.`{text}`")).join(F.broadcast(table), "marks", "left")
+    f = {name: F.col(f"f.{name}") for name in FEATURES}
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
-    verdict = F.when(failed, False).otherwise(F.coalesce(F.col("p_good"), F.lit(0.0)) >= threshold)
-    added = [f[n].alias(n) for n in ADDED[:5]] + [failed.alias("base_failed"), F.col("_votes").alias("votes"), F.col("p_good"), verdict.alias("kept")]
-    return rated.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], *added)
+    verdict = F.when(failed, False).otherwise(F.coalesce(F.col("p"), F.lit(0.0)) >= threshold)
+    added = [f[n].alias(n) for n in ADDED[:5]] + [failed.alias("base_failed"), F.col("marks").alias("votes"), F.col("p").alias("p_good"), verdict.alias("kept")]
+    return rated.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *added)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the rules accept, with the input's columns."""
-    marked = score_documents(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(F.col(f"_row.`{text}`").alias(text), "_row"), text)
-    return marked.filter("kept").select("_row.*")
+    rows = packed(docs).select(F.col(f"row.`{text}`").alias("t"), "row")
+    return score_documents(rows, "t").filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
