@@ -77,17 +77,17 @@ def test_secret_links_equal_all_pairs(spark):
         if len(t) > 50_000:
             assert len(r.spans) > 2000
             continue
-        spans = lambda p, k, g=0, n=0: [(m.start(), m.end(), k) for m in regex.finditer(p, t) if len(m[g]) >= n]
+        spans = lambda p, k, g=0, n=0: [(m.start(), k, m.end()) for m in regex.finditer(p, t) if len(m[g]) >= n]
         base = spans(secrets.ASSIGN, 0, 2, 6) + spans(secrets.ACCESS, 1, 0, 20) + spans(secrets.HEX, 2)
-        mixed = [s for s in spans(secrets.OPAQUE, 4) if all(regex.search(x, t[s[0] : s[1]]) for x in ("[0-9]", "[a-z]", "[A-Z]"))]
-        weak = [s for s in spans(secrets.LOGIN, 3, 1, 3) + mixed if not any(b[0] < s[1] and s[0] < b[1] for b in base)] + spans(secrets.HOST, 5)
+        mixed = [s for s in spans(secrets.OPAQUE, 4) if all(regex.search(x, t[s[0] : s[2]]) for x in ("[0-9]", "[a-z]", "[A-Z]"))]
+        weak = [s for s in spans(secrets.LOGIN, 3, 1, 3) + mixed if not any(b[0] < s[2] and s[0] < b[2] for b in base)] + spans(secrets.HOST, 5)
         breaks = spans(secrets.BREAK, 6)
 
         def near(s, p):
-            first, last = min(s[1], p[1]), max(s[0], p[0])
-            return (s[2] in (0, 2, 4)) != (p[2] in (0, 2, 4)) and last - first <= secrets.GAP and not any(b[0] >= first and b[1] <= last for b in breaks)
+            first, last = min(s[2], p[2]), max(s[0], p[0])
+            return (s[1] in (0, 2, 4)) != (p[1] in (0, 2, 4)) and last - first <= secrets.GAP and not any(b[0] >= first and b[2] <= last for b in breaks)
 
-        want = sorted(base + [s for s in weak if any(near(s, p) for p in base + weak)])
+        want = sorted(base + [s for s in weak if any(near(s, p) for p in base + weak)])  # by start, then kind
         assert [tuple(s) for s in r.spans] == want, r.doc_id
 
 

@@ -33,13 +33,15 @@ GAP = 160
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-LOGIN = r"""(?:user_?name|user_?id|user|login|client_?id|account_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)"""
+LOGIN = r"""(?i:user_?name|user_?id|user|login|client_?id|account_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)"""
 OPAQUE = r"[A-Za-z0-9+/_=-]{24,}"
 HOST = r"(?:(?:https?|ftps?|sftp|ssh|postgres|postgresql|mysql|redis|mongodb|amqp|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})"
 BREAK = r"\n[\x20\x09\x0D]*\n"
 
 FAR = 1 << 30  # beyond any place in a text
-SPAN = "array<struct<start:int,end:int,kind:int>>"
+BLOCK = 256  # items folded at a time
+SPAN = "struct<start:int,kind:int,end:int>"
+SPANS = f"array<{SPAN}>"
 KINDS = ("assign", "access", "hex", "login", "opaque", "host")
 BASE_KINDS = (0, 1, 2)
 BREAK_KIND = len(KINDS)
@@ -56,38 +58,63 @@ def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0, least:
     values = F.regexp_extract_all(text, walk, F.lit(value_group + 2)) if value_group else matches
     rows = F.transform(F.arrays_zip(gaps, matches, values), lambda x: F.struct(F.length(x["0"]).alias("gap"), F.length(x["1"]).alias("size"), F.length(x["2"]).alias("value"), _mixed(x["2"]).alias("fits") if mixed else F.lit(True).alias("fits")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        found = F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((start + x["size"]).alias("at"), F.when((x["value"] >= least) & x["fits"], F.concat(a["spans"], F.array(found))).otherwise(a["spans"]).alias("spans"))
+    def found(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))
+        return F.when((x["value"] >= least) & x["fits"], span)
 
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda a: a["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPAN))
+    spans = _swept(rows, F.lit(0), lambda at, x: at + x["gap"] + x["size"], found, SPAN)
+    return F.when(text.rlike(pattern), F.filter(spans, lambda s: s.isNotNull())).otherwise(F.array().cast(SPANS))
 
 
 def _mixed(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
 
 
-def _swept(events: Column, state: Column, move, flag) -> Column:
-    """`flag` of each event, given the state that the events before it left."""
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _swept(events: Column, state: Column, move, result, kind: str = "boolean") -> Column:
+    """`result` of each event, given the state that the events before it left.
+
+    Results gather in blocks and blocks in a list, so that no long array is
+    copied for every event.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
     def step(a: Column, x: Column) -> Column:
-        return F.struct(move(a["s"], x).alias("s"), F.concat(a["flags"], F.array(flag(a["s"], x))).alias("flags"))
+        return F.struct(move(a["s"], x).alias("s"), F.concat(a["r"], F.array(result(a["s"], x))).alias("r"))
+
+    def part(a: Column, block: Column) -> Column:
+        folded = F.aggregate(block, F.struct(a["s"].alias("s"), none.alias("r")), step)
+        return _let(folded, lambda f: F.struct(f["s"].alias("s"), F.concat(a["r"], F.array(f["r"])).alias("r")))
+
+    def cut(e: Column) -> Column:
+        return F.when(F.size(e) > 0, F.transform(F.sequence(F.lit(1), F.size(e), F.lit(BLOCK)), lambda i: F.slice(e, i, BLOCK))).otherwise(F.array())
 
-    return F.aggregate(events, F.struct(state.alias("s"), F.array().cast("array<boolean>").alias("flags")), step, lambda a: a["flags"])
+    return F.aggregate(_let(events, cut), F.struct(state.alias("s"), nothing.alias("r")), part, lambda a: F.flatten(a["r"]))
+
+
+def _zipped(events: Column, first: Column, second: Column) -> Column:
+    """The arrays side by side, as fields 0, 1 and 2."""
+    pairs = F.zip_with(events, first, lambda x, f: F.struct(x.alias("0"), f.alias("1")))
+    return F.zip_with(pairs, second, lambda p, s: F.struct(p["0"].alias("0"), p["1"].alias("1"), s.alias("2")))
 
 
 def _apart(spans: Column, base: Column) -> Column:
     """Spans that overlap no base span, by one sweep each way over both in order."""
-    own = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(False).alias("base")))
-    other = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(True).alias("base")))
-    events = F.array_sort(F.concat(own, other))
-    hit = _swept(events, F.lit(-1), lambda s, x: F.when(x["base"], F.greatest(s, x["end"])).otherwise(s), lambda s, x: s > x["start"])
-    back = _swept(F.reverse(events), F.lit(FAR), lambda s, x: F.when(x["base"], x["start"]).otherwise(s), lambda s, x: s < x["end"])
-    marked = F.arrays_zip(events, hit, F.reverse(back))
-    free = F.filter(marked, lambda m: ~m["0"]["base"] & ~m["1"] & ~m["2"])
-    return F.when((F.size(spans) > 0) & (F.size(base) > 0), F.transform(free, lambda m: F.struct(m["0"]["start"].alias("start"), m["0"]["end"].alias("end"), m["0"]["kind"].alias("kind")))).otherwise(spans)
+    own = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("base")))
+    other = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(True).alias("base")))
+
+    def outside(events: Column) -> Column:
+        hit = _swept(events, F.lit(-1), lambda s, x: F.when(x["base"], F.greatest(s, x["end"])).otherwise(s), lambda s, x: s > x["start"])
+        back = _swept(F.reverse(events), F.lit(FAR), lambda s, x: F.when(x["base"], x["start"]).otherwise(s), lambda s, x: s < x["end"])
+        return F.filter(_zipped(events, hit, F.reverse(back)), lambda m: ~m["0"]["base"] & ~m["1"] & ~m["2"])
+
+    free = _let(F.array_sort(F.concat(own, other)), outside)
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), F.transform(free, lambda m: F.struct(m["0"]["start"].alias("start"), m["0"]["kind"].alias("kind"), m["0"]["end"].alias("end")))).otherwise(spans)
 
 
 def _role(kind: Column, role: str) -> Column:
@@ -101,7 +128,6 @@ def linked(parts: Column, breaks: Column, gap: int = GAP) -> Column:
     furthest, or the next to begin after it. One sweep each way over parts and
     breaks, which never overlap, carries both; a break forgets them.
     """
-    events = F.array_sort(F.concat(parts, breaks))
     secret = lambda x: _role(x["kind"], "secret")
     is_break = lambda x: x["kind"] == BREAK_KIND
 
@@ -115,11 +141,13 @@ def linked(parts: Column, breaks: Column, gap: int = GAP) -> Column:
         return state, move
 
     complement = lambda s, x: F.when(secret(x), s["other"]).otherwise(s["secret"])
-    forward = _swept(events, *sides(-FAR, lambda a, x: F.greatest(a, x["end"])), lambda s, x: x["start"] - complement(s, x) <= gap)
-    back = _swept(F.reverse(events), *sides(FAR, lambda a, x: x["start"]), lambda s, x: complement(s, x) - x["end"] <= gap)
-    marked = F.arrays_zip(events, forward, F.reverse(back))
-    kept = F.filter(marked, lambda m: ~is_break(m["0"]) & (m["0"]["kind"].isin(*BASE_KINDS) | m["1"] | m["2"]))
-    return F.transform(kept, lambda m: m["0"])
+
+    def near(events: Column) -> Column:
+        forward = _swept(events, *sides(-FAR, lambda a, x: F.greatest(a, x["end"])), lambda s, x: x["start"] - complement(s, x) <= gap)
+        back = _swept(F.reverse(events), *sides(FAR, lambda a, x: x["start"]), lambda s, x: complement(s, x) - x["end"] <= gap)
+        return F.filter(_zipped(events, forward, F.reverse(back)), lambda m: ~is_break(m["0"]) & (m["0"]["kind"].isin(*BASE_KINDS) | m["1"] | m["2"]))
+
+    return F.transform(_let(F.array_sort(F.concat(parts, breaks)), near), lambda m: m["0"])
 
 
 def _joined(spans: Column) -> Column:
@@ -138,7 +166,7 @@ def scan(docs: DataFrame, text: str = "text", gap: int = GAP) -> DataFrame:
     based = docs.drop("base", "spans", "_weak", "_breaks").withColumn("base", plain)
     base = F.col("base")
     weak = F.concat(_apart(F.concat(spans_of(t, LOGIN, 3, 1, 3), spans_of(t, OPAQUE, 4, mixed=True)), base), spans_of(t, HOST, 5))
-    found = based.withColumn("_weak", weak).withColumn("_breaks", F.when(F.size("_weak") > 0, spans_of(t, BREAK, BREAK_KIND)).otherwise(F.array().cast(SPAN)))
+    found = based.withColumn("_weak", weak).withColumn("_breaks", F.when(F.size("_weak") > 0, spans_of(t, BREAK, BREAK_KIND)).otherwise(F.array().cast(SPANS)))
     kept = F.when(F.size("_weak") > 0, linked(F.concat(base, F.col("_weak")), F.col("_breaks"), gap)).otherwise(base)
     return found.withColumn("spans", kept).drop("_weak", "_breaks")
 
@@ -178,7 +206,7 @@ names AS (SELECT *, ['assign', 'access', 'hex', 'login', 'opaque', 'host'][kind
   SELECT doc_id, kind, s::BIGINT AS s, e::BIGINT AS e FROM base UNION ALL SELECT doc_id, kind, s::BIGINT, e::BIGINT FROM linked)),
 found AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-         string_agg(name, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY s, e, kind) AS spans
+         string_agg(name, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY s, kind, e) AS spans
   FROM names GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
