@@ -7,9 +7,10 @@ A document's prediction is the language of the largest mean probability over
 all of its windows, and its score is that mean. For prediction the embedding
 and the filters are multiplied out into tables by byte and by pair of bytes.
 
-Training uses only text and language of training documents: a sample of at most
-`max_docs` per language, those of smallest id hash, with at most MAX_WINDOWS
-windows each, spread over the whole text; this bounds what the driver holds. Prediction covers every window of every document.
+Training uses only text and language of training documents: every window of at
+most `max_docs` different texts a language, those of smallest hash, in at most
+`max_langs` languages, the most frequent ones; this bounds the rows that the
+driver holds. Prediction covers every window of every document.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; so is
 every text if no training document has a language; equal texts get equal
@@ -22,19 +23,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tideledger.llm.common import byte_groups, crc_bucket, read_table, text_bytes
+from tideledger.llm.common import byte_groups, crc_bucket, in_small_batches, read_table, text_bytes
 
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
+#: Texts of a language, and languages, that the network is trained on.
 MAX_DOCS = 400
-MAX_WINDOWS = 5
-EPOCHS = 5
+MAX_LANGS = 256
+MARGIN = 1.25
+EPOCHS = 4
 BATCH = 64
 RATE = 2e-3
 BATCH_BYTES = 1 << 20
@@ -146,24 +147,24 @@ class ByteCnn:
                     self.weights[k] -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
-def _spread_windows(text: pa.Array) -> pa.Array:
-    cut = []
-    for t in text_bytes(text):
-        rows = windows(t)
-        pick = np.unique(np.linspace(0, len(rows) - 1, MAX_WINDOWS).astype(int))
-        cut.append([rows[i].tobytes() for i in pick] if LETTER.search(t.decode("utf-8", "replace")) else [])
-    return pa.array(cut, pa.list_(pa.binary()))
+def training_sample(docs: DataFrame, training: Column, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> list[tuple[bytes, str]]:
+    """(window, language) of every window of at most max_docs labelled training texts a language, those of smallest hash.
 
-
-def training_sample(docs: DataFrame, training: Column, max_docs: int = MAX_DOCS) -> list[tuple[bytes, str]]:
-    """(window, language) from at most max_docs labelled training texts a language, those of smallest id hash."""
-    known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    ids = ranked.filter(F.col("r") <= max_docs).select(F.col("doc_id").alias("_id")).distinct()
-    picked = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rows = picked.select("doc_id", "lang", _spread_windows("text").alias("cut")).collect()
-    return sorted((bytes(c), r["lang"]) for r in rows for c in r["cut"])
+    Counts of each language (the max_langs most frequent) say up to which hash
+    texts are wanted, with a margin; the driver gets only those, each text once.
+    """
+    known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, MARGIN * max_docs / r["count"])) for r in counts], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "text"), 11).cast("double") / F.lit(float(2**53))
+    picked = known.withColumn("place", place).join(F.broadcast(shares), "lang").filter("place < share")
+    rows = picked.groupBy("lang", "place", "text").agg(F.count("*").alias("n")).select("lang", "place", "text").collect()
+    sample: list[tuple[bytes, str]] = []
+    for lang in sorted({r["lang"] for r in rows}):
+        own = sorted((r["place"], r["text"]) for r in rows if r["lang"] == lang)[:max_docs]
+        texts = [t.encode() for _, t in own if LETTER.search(t)]
+        sample += [(w.tobytes(), lang) for t in texts for w in windows(t)]
+    return sample
 
 
 def train(sample: list[tuple[bytes, str]]) -> ByteCnn | None:
@@ -208,7 +209,7 @@ def _predictor(net: ByteCnn | None):
     return udf
 
 
-def identify(docs: DataFrame, net: ByteCnn | None, text: str = "text") -> Column:
+def identify(net: ByteCnn | None, text: str = "text") -> Column:
     """A struct (lang_pred, score) for each text, by a trained network."""
     return _predictor(net)(F.col(f"`{text}`"))
 
@@ -217,5 +218,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_bucket("doc_id", 4) == 2
     net = train(training_sample(docs, ~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), identify(docs, net).alias("p"))
+    found = in_small_batches(docs).select("doc_id", held_out.alias("held_out"), identify(net).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
