@@ -58,6 +58,8 @@ SIMILARITY = 0.8
 CELLS = 1 << 20
 COUNT_SHARE = 8
 BLOCK = 1024
+#: Members up to which a shingle's group is compared in the JVM.
+SMALL_GROUP = 64
 HOT_PAIRS = 1024
 #: Rows of one shingle that one task may get.
 HOT_ROWS = 20_000
@@ -418,29 +420,61 @@ def fingerprint_pairs(index: DataFrame, distance: int) -> DataFrame:
 
 
 def shingle_rows(index: DataFrame) -> DataFrame:
-    """(shingle, salt, node, n, pos, hub, hub_n, hub_pos): the rarest shingles that texts share, each text beside its group's first.
+    """(shingle, hot, node, place, hub, hub_place): the rarest shingles that texts share, each text beside its group's first.
 
-    A shingle of more than HOT_ROWS texts is dealt into groups by a salt, and is listed in whole.
+    place: the text's number of shingles and the shingle's position in one
+    number. A shingle of more than HOT_ROWS texts (hot: itself, else null) is
+    dealt into groups under names of their own, and is listed in whole.
     """
-    each = index.select("node", "n", "salts", F.posexplode("prefix").alias("pos", "shingle"))
+    each = index.select("node", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "salts", F.posexplode("prefix").alias("pos", "shingle"))
     parts = F.coalesce(F.get("salts", F.col("pos")), F.lit(1))
-    each = each.select("shingle", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"), (parts > 1).alias("hot"), "node", "n", "pos")
-    group = W.partitionBy("shingle", "salt")
-    first = F.min(F.struct("node", "n", "pos")).over(group)
-    seen = each.withColumn("first", first).withColumn("members", F.count("*").over(group)).filter("members > 1 or hot")
-    return seen.select("shingle", "salt", "node", "n", "pos", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.pos").alias("hub_pos"))
+    salted = F.when(parts > 1, F.xxhash64("shingle", F.pmod(F.xxhash64("node"), parts))).otherwise(F.col("shingle"))
+    rows = each.select(salted.alias("group"), F.when(parts > 1, F.col("shingle")).alias("hot"), "node", (F.col("n") + F.col("pos")).alias("place"))
+    group = W.partitionBy("group")
+    seen = rows.withColumn("first", F.min(F.struct("node", "place")).over(group)).withColumn("members", F.count("*").over(group)).filter("members > 1 or hot is not null")
+    return seen.select(F.coalesce("hot", "group").alias("shingle"), "hot", "node", "place", F.col("first.node").alias("hub"), F.col("first.place").alias("hub_place"))
+
+
+def _n(place: Column) -> Column:
+    return F.shiftright(place, 32)
+
+
+def _pos(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _near(place: Column, place2: Column, similarity: float) -> Column:
+    """Whether texts with these places of a shingle, the first that they share, can reach the similarity."""
+    return _can_be_similar(_n(place), _pos(place), _n(place2), _pos(place2), similarity)
 
 
 def hub_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) to verify: each text with the first of its group, and the firsts of a shingle's groups with the first of all."""
-    near = _can_be_similar(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), similarity)
-    own = shared.filter("node <> hub").filter(near).select(*_ordered(F.col("node"), F.col("hub")))
-    hubs = shared.filter("node = hub").select("shingle", F.struct("node", "n", "pos").alias("h"))
-    firsts = hubs.groupBy("shingle").agg(F.min("h").alias("least"), F.count("*").alias("groups")).filter("groups > 1")
-    between = hubs.join(firsts, "shingle").filter("h.node <> least.node").filter(_can_be_similar(F.col("h.n"), F.col("h.pos"), F.col("least.n"), F.col("least.pos"), similarity))
+    """Pairs (a, b) to verify: each text with the first of its group, and the firsts of a hot shingle's groups with the first of all."""
+    own = shared.filter("node <> hub").filter(_near(F.col("place"), F.col("hub_place"), similarity)).select(*_ordered(F.col("node"), F.col("hub")))
+    hubs = shared.filter("node = hub and hot is not null").select("hot", F.struct("node", "place").alias("h"))
+    firsts = hubs.groupBy("hot").agg(F.min("h").alias("least"))
+    between = hubs.join(firsts, "hot").filter("h.node <> least.node").filter(_near(F.col("h.place"), F.col("least.place"), similarity))
     return own.unionByName(between.select(*_ordered(F.col("h.node"), F.col("least.node")))).distinct()
 
 
+def group_pairs(groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the members (node, place, root) of each group that no link connects yet and that can be similar.
+
+    Small groups are compared in the JVM, larger ones in blocks of pairs.
+    """
+    size = F.size("members")
+    each = groups.filter(size <= SMALL_GROUP).select(F.explode("members").alias("x"), "members").select("x", F.explode("members").alias("y"))
+    fit = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _near(F.col("x.place"), F.col("y.place"), similarity)
+    small = each.filter(fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    members = F.transform("members", lambda m: F.struct(m["node"].alias("node"), _n(m["place"]).alias("n"), _pos(m["place"]).alias("pos"), m["root"].alias("root")))
+    large = groups.filter(size > SMALL_GROUP).select("shingle", members.alias("members"))
+    last = F.floor((F.size("members") - 1) / BLOCK).cast("int")
+    at = lambda i: F.slice("members", F.col(i) * BLOCK + 1, F.lit(BLOCK))
+    blocks = large.withColumn("last", last).withColumn("i", F.explode(F.sequence(F.lit(0), "last"))).withColumn("j", F.explode(F.sequence("i", "last")))
+    blocks = blocks.select("shingle", "i", "j", at("i").alias("left"), at("j").alias("right")).repartition("shingle", "i", "j")
+    return small.unionByName(_candidates(blocks, similarity)).distinct()
+
+
 def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs that no component joins yet."""
     for c in ("a", "b"):
@@ -471,21 +505,17 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS
     pairs = fingerprint_pairs(index.select("node", "fp"), distance)
     edges = _verified_copies(pairs, docs, text, words, similarity)
     roots = checkpointed(components(edges))
-    shared = checkpointed(shingle_rows(index))
+    shared = written(shingle_rows(index), "shared")
     release(spark)
     star = checkpointed(unconnected(hub_pairs(shared, similarity), roots).join(pairs, ["a", "b"], "left_anti"))
     edges = checkpointed(edges.unionByName(_verified_copies(star, docs, text, words, similarity)))
     roots = checkpointed(components(edges))
     release(spark)
     known = pairs.unionByName(star)
-    rooted = shared.join(F.broadcast(roots) if few(roots, MAX_BROADCAST) else roots, shared.node == roots.node, "left").select("shingle", shared.node, "n", "pos", F.coalesce("root", shared.node).alias("root"))
-    rooted = checkpointed(rooted)
+    rooted = shared.select("shingle", "node", "place").join(F.broadcast(roots) if few(roots, MAX_BROADCAST) else roots, "node", "left").select("shingle", "node", "place", F.coalesce("root", "node").alias("root"))
     unsettled = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
-    groups = rooted.join(unsettled, "shingle").groupBy("shingle").agg(F.collect_list(F.struct("node", "n", "pos", "root")).alias("members"))
-    last = F.floor((F.size("members") - 1) / BLOCK).cast("int")
-    at = lambda i: F.slice("members", F.col(i) * BLOCK + 1, F.lit(BLOCK))
-    blocks = groups.withColumn("last", last).withColumn("i", F.explode(F.sequence(F.lit(0), "last"))).withColumn("j", F.explode(F.sequence("i", "last")))
-    rest = _candidates(blocks.select("shingle", "i", "j", at("i").alias("left"), at("j").alias("right")).repartition("shingle", "i", "j"), similarity)
+    groups = rooted.join(unsettled, "shingle").groupBy("shingle").agg(F.collect_list(F.struct("node", "place", "root")).alias("members"))
+    rest = group_pairs(groups, similarity)
     rest = checkpointed(rest.join(known, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
