@@ -60,6 +60,8 @@ COUNT_SHARE = 8
 BLOCK = 1024
 #: Members up to which a shingle's group is compared in the JVM.
 SMALL_GROUP = 64
+#: Cells whose parities bound how many shingles two texts share; a multiple of 64.
+PARITIES = 2048
 HOT_PAIRS = 1024
 #: Rows of one shingle that one task may get.
 HOT_ROWS = 20_000
@@ -331,18 +333,24 @@ def majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")[0]
 
 
-SKETCH = "struct<n:int,fp:long,prefix:array<long>,salts:array<int>>"
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls into each of PARITIES cells, as 64-bit words."""
+    cells = np.bincount((hashes >> np.uint64(32)) % np.uint64(PARITIES), minlength=PARITIES) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
+
+
+SKETCH = "struct<n:int,fp:long,parity:array<long>,prefix:array<long>,salts:array<int>>"
 
 
 def _sketches(words: int, similarity: float, counts: np.ndarray):
-    """Of each text: its number of shingles, its fingerprint, and its rarest shingles, as many as one of any near copy's must be among.
+    """Of each text: its number of shingles, its fingerprint, the parities of its shingles, and its rarest shingles, as many as one of any near copy's must be among.
 
     salts: into how many parts the rows of each of these shingles are dealt; null if none needs more than one.
     """
 
     @F.arrow_udf(SKETCH)
     def udf(text: pa.Array) -> pa.Array:
-        sizes, prints, prefixes, salts = [], [], [], []
+        sizes, prints, parity, prefixes, salts = [], [], [], [], []
         for s in shingle_sets(text_bytes(text), words):
             often = counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((s, often))
@@ -350,10 +358,11 @@ def _sketches(words: int, similarity: float, counts: np.ndarray):
             parts = -(-often[order] * COUNT_SHARE // HOT_ROWS)
             sizes.append(len(s))
             prints.append(majority(s))
+            parity.append(parities(s))
             prefixes.append(s[order].view(np.int64))
             salts.append(np.maximum(parts, 1).astype(np.int32) if (parts > 1).any() else None)
-        columns = [pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))]
-        return pa.StructArray.from_arrays(columns, names=["n", "fp", "prefix", "salts"])
+        columns = [pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(columns, names=["n", "fp", "parity", "prefix", "salts"])
 
     return udf
 
@@ -390,8 +399,25 @@ def _candidates(blocks: DataFrame, similarity: float) -> DataFrame:
     return in_small_batches(blocks).select("left", "right").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _verified_copies(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+def plausible(pairs: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs that can have the similarity by their parities.
+
+    Every cell whose parities differ holds a shingle of just one of the texts,
+    so at most (n + m - cells) / 2 are shared: a bound that loses no pair.
+    """
+    wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    small = checkpointed(index.select("node", "n", "parity").join(F.broadcast(wanted) if few(wanted, MAX_BROADCAST) else wanted, "node", "left_semi"))
+    of = lambda c: small.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    cells = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    shared = (total - cells) / 2
+    return checkpointed(both.filter(shared >= F.lit(similarity) * (total - shared) - 1e-9).select("a", "b"))
+
+
+def _verified_copies(pairs: DataFrame, index: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """The candidate pairs whose texts' shingle sets have at least the similarity; salts spread a hot text's pairs."""
+    pairs = plausible(pairs, index, similarity)
     wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     nodes = F.broadcast(wanted) if few(wanted, MAX_BROADCAST) else wanted
     column = F.col(f"`{text}`")
@@ -503,12 +529,12 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS
     index = written(sketched.select("node", "p.*"), "sketches")
     release(spark)
     pairs = fingerprint_pairs(index.select("node", "fp"), distance)
-    edges = _verified_copies(pairs, docs, text, words, similarity)
+    edges = _verified_copies(pairs, index, docs, text, words, similarity)
     roots = checkpointed(components(edges))
     shared = written(shingle_rows(index), "shared")
     release(spark)
     star = checkpointed(unconnected(hub_pairs(shared, similarity), roots).join(pairs, ["a", "b"], "left_anti"))
-    edges = checkpointed(edges.unionByName(_verified_copies(star, docs, text, words, similarity)))
+    edges = checkpointed(edges.unionByName(_verified_copies(star, index, docs, text, words, similarity)))
     roots = checkpointed(components(edges))
     release(spark)
     known = pairs.unionByName(star)
@@ -519,7 +545,7 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS
     rest = checkpointed(rest.join(known, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
-    return components(edges.unionByName(_verified_copies(rest, docs, text, words, similarity)))
+    return components(edges.unionByName(_verified_copies(rest, index, docs, text, words, similarity)))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = VERIFY_WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
