@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from decimal import Decimal
+from pathlib import Path
 
 ENV_PREFIX = "TIDELEDGER_"
 HOUR_MS = 3_600_000
@@ -14,7 +15,7 @@ DAY_MS = 24 * HOUR_MS
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds in milliseconds unless named otherwise. Secrets come from the environment only."""
+    """Thresholds in milliseconds unless named otherwise; fixed values of the rules. Secrets come from the environment only."""
 
     zone: str = "Asia/Shanghai"
     deduct_refunds: bool = True
@@ -31,7 +32,29 @@ class Settings:
     watermark_ms: int = 120_000
     output_every_ms: int = 5_000
     order_state_ttl_ms: int = 30 * DAY_MS
+    cart_ttl_ms: int = 2 * HOUR_MS
+    push_ttl_ms: int = 30 * DAY_MS
+    day_state_ttl_ms: int = 2 * DAY_MS
+    pending_ttl_ms: int = DAY_MS
     starting_offsets: str = "committed"
+    servers: str = "localhost:9092"
+    message_dir: str = ""
+    table_dir: str = ""
+    checkpoint_dir: str = ""
+
+
+@dataclass(frozen=True)
+class Credentials:
+    """A user and a password, given by the environment only and never shown."""
+
+    user: str
+    password: str = field(repr=False)
+
+    @classmethod
+    def of(cls, store: str, environ: Mapping[str, str] | None = None) -> Credentials:
+        """TIDELEDGER_<STORE>_USER and TIDELEDGER_<STORE>_PASSWORD; a blank one is missing."""
+        given = os.environ if environ is None else environ
+        return cls(required(given, f"{ENV_PREFIX}{store.upper()}_USER"), required(given, f"{ENV_PREFIX}{store.upper()}_PASSWORD"))
 
 
 def required(values: Mapping[str, str], key: str) -> str:
@@ -70,3 +93,22 @@ def load_settings(*layers: Mapping[str, str], environ: Mapping[str, str] | None
         given = {k: v.strip() for k, v in layer.items() if k in {f.name for f in fields(Settings)} and v.strip()}
         settings = replace(settings, **{k: _typed(v, getattr(Settings, k)) for k, v in given.items()})
     return settings
+
+
+def load_profile(profile: str, folder: str, overlay: str | None = None, environ: Mapping[str, str] | None = None) -> Settings:
+    """Settings of a profile: `settings.properties` of the folder if there, `settings-<profile>.properties`, the overlay file, the environment; later ones win.
+
+    A profile's file must exist; a password in a file is an error, since secrets belong to the environment.
+    """
+    layers = []
+    base, own = Path(folder) / "settings.properties", Path(folder) / f"settings-{profile}.properties"
+    if not own.is_file():
+        raise FileNotFoundError(own)
+    for path in (base, own, *([Path(overlay)] if overlay else [])):
+        if path == base and not path.is_file():
+            continue
+        values = read_properties(path.read_text())
+        if secret := [k for k in values if "password" in k.lower()]:
+            raise ValueError(f"{path} holds a secret: {', '.join(sorted(secret))}")
+        layers.append(values)
+    return load_settings(*layers, environ=environ)

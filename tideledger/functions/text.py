@@ -40,5 +40,18 @@ def joined(*parts: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Pieces between single spaces, without empty pieces at the end."""
-    return F.when(F.length(c) > 0, F.split(F.regexp_replace(c, " +$", ""), " ")).otherwise(F.array(F.lit("")))
+    """Pieces between single spaces, without empty pieces at the end.
+
+    A line of spaces alone has none, an empty line has one empty piece, and a null line is null.
+    """
+    held = F.regexp_replace(c, " +$", "")
+    return F.when(F.length(held) > 0, F.split(held, " ")).when(F.length(c) > 0, F.array().cast("array<string>")).when(c.isNotNull(), F.array(F.lit("")))
+
+
+#: Whitespace of any script but for the no-break spaces.
+BLANKS = r"^[\p{Z}\x09-\x0D\x1C-\x1F&&[^\u00A0\u2007\u202F]]*$"
+
+
+def is_white(c: Column) -> Column:
+    """Null, empty, or nothing but whitespace of any script."""
+    return F.coalesce(c.rlike(BLANKS), F.lit(True))

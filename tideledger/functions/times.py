@@ -25,6 +25,12 @@ def business_day(ms: Column, zone: str) -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))))
 
 
+def local_text(ms: Column, zone: str) -> Column:
+    """Epoch milliseconds as a local datetime in the zone."""
+    naive = F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), naive), LOCAL)
+
+
 def week_name(day: Column) -> Column:
     """Calendar year and ISO week, unpadded; around New Year they can belong to different years."""
     return F.concat(F.year(day).cast("string"), F.lit("W"), F.weekofyear(day).cast("string"))

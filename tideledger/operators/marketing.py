@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideledger.config import Settings
-from tideledger.functions.text import is_blank, joined, json_long, json_text
+from tideledger.functions.text import CONTROLS, is_blank, joined, json_long, json_text
 from tideledger.functions.times import business_day, local_millis, week_name
 
+# fixed values: rule codes and what a trigger says about them
 ABANDON = "ABANDON_CART_30MIN"
 REPEAT = "REPEAT_CART_1H"
+REASONS = {ABANDON: "cart left unpaid for 30 minutes", REPEAT: "same item in the cart 3 times within 1 hour"}
 
 
 def _living(raw: DataFrame) -> DataFrame:
@@ -78,12 +80,14 @@ def frequency_control(found: DataFrame, settings: Settings) -> DataFrame:
 
     Input: user_id, sku_id, rule_code, ts (epoch ms), seq. Whether one is pushed
     depends on those pushed before, so each user's candidates are folded in
-    order; a user's own candidates are few.
+    order. Of what was pushed only the last time of each rule and of each rule
+    and item within their windows, and the pushes of the day, can matter, so
+    older ones are dropped from the state, which does not grow with the history.
     """
     day = business_day(F.col("ts"), settings.zone)
     row = F.struct("ts", "seq", "rule_code", "sku_id", day.alias("day"))
     kind = "array<struct<ts:bigint,seq:bigint,rule_code:string,sku_id:bigint,day:date>>"
-    start = F.struct(F.array().cast(kind).alias("pushed"), F.array().cast("array<bigint>").alias("risk"))
+    start = F.struct(F.array().cast(kind).alias("pushed"), F.array().cast("array<bigint>").alias("risk"), F.array().cast(kind).alias("sent"))
 
     def step(a: Column, x: Column) -> Column:
         risky = x["rule_code"] == ABANDON
@@ -96,13 +100,16 @@ def frequency_control(found: DataFrame, settings: Settings) -> DataFrame:
             | (F.size(F.filter(a["pushed"], lambda p: p["day"] == x["day"])) >= settings.daily_pushes)
             | (of_risk >= settings.risk_count)
         )
-        return F.struct(F.when(blocked, a["pushed"]).otherwise(F.concat(a["pushed"], F.array(x))).alias("pushed"), risk.alias("risk"))
+        longest = max(settings.same_rule_ms, settings.same_sku_ms)
+        lasting = F.filter(a["pushed"], lambda p: (x["ts"] - p["ts"] < longest) | (p["day"] == x["day"]))
+        sent = F.when(blocked, F.array().cast(kind)).otherwise(F.array(x))
+        return F.struct(F.concat(lasting, sent).alias("pushed"), risk.alias("risk"), F.concat(a["sent"], sent).alias("sent"))
 
     folded = found.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    pushed = folded.select("user_id", F.inline(F.aggregate("rows", start, step, lambda a: a["pushed"])))
+    pushed = folded.select("user_id", F.inline(F.aggregate("rows", start, step, lambda a: a["sent"])))
     return pushed.select("user_id", "sku_id", "rule_code", "ts", trigger_id(F.col("user_id"), F.col("sku_id"), F.col("rule_code"), F.col("day")).alias("trigger_id"))
 
 
-def trigger_table(triggers: DataFrame, zone: str) -> DataFrame:
-    """The serving table's columns: dates and times derived from epoch milliseconds."""
-    return triggers.select("trigger_id", "user_id", "sku_id", "rule_code", F.col("ts").alias("trigger_time_ms"), F.timestamp_add("MILLISECOND", F.col("ts"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).alias("trigger_time"), business_day(F.col("ts"), zone).alias("dt"))
+def trigger_table(triggers: DataFrame, zone: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The serving table's columns, after those to carry: dates and times derived from epoch milliseconds."""
+    return triggers.select(*carry, "trigger_id", "user_id", "sku_id", "rule_code", F.col("ts").alias("trigger_time_ms"), F.timestamp_add("MILLISECOND", F.col("ts"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).alias("trigger_time"), business_day(F.col("ts"), zone).alias("dt"))

@@ -6,24 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideledger.functions.text import is_blank, joined, words
-from tideledger.functions.times import local_millis
+from tideledger.functions.text import is_blank, joined, json_long, json_text, words
+from tideledger.functions.times import local_millis, local_text
 
+# fixed values: the rule's code, and statuses that end the wait for a payment
 RULE_CODE = "UNPAID_ORDER_10MIN"
-# fixed values: statuses that end the wait for a payment
 SETTLED = ("PAID", "FINISHED", "REFUNDED", "CANCELLED")
 
 
+#: A timeout event's fields, in the order of its message.
+TIMEOUT_FIELDS = ("timeout_event_id", "order_id", "user_id", "sku_id", "pay_amount", "order_status", "rule_code", "create_time", "timeout_time", "dt", "create_time_ms", "timeout_time_ms")
+
+
 def is_settled() -> Column:
     """A pay time, or a status that ends the wait."""
     return ~is_blank(F.col("pay_time")) | F.coalesce(F.col("order_status").isin(*SETTLED), F.lit(False))
 
 
-def order_events(parsed: DataFrame, zone: str) -> DataFrame:
-    """Rows with an order id and a creation time; event time is the pay time, or else the creation time."""
+def order_events(parsed: DataFrame, zone: str, timeout_ms: int = 60_000) -> DataFrame:
+    """Rows with an order id and a creation time; event time is the pay time, or else the creation time.
+
+    timeout_time and dt: when the wait ends, and the day it began, in the zone.
+    """
     known = parsed.filter(~is_blank(F.col("order_id")) & ~is_blank(F.col("create_time")))
     created, paid = local_millis(F.col("create_time"), zone), F.coalesce(local_millis(F.col("pay_time"), zone), F.lit(0))
-    timed = known.withColumn("create_ms", created).withColumn("pay_ms", paid)
+    timed = known.withColumn("create_ms", created).withColumn("pay_ms", paid).filter("create_ms is not null")
+    timed = timed.withColumn("timeout_time", local_text(F.col("create_ms") + timeout_ms, zone)).withColumn("dt", F.substring("create_time", 1, 10))
     return timed.withColumn("event_ms", F.when(F.col("pay_ms") > 0, F.col("pay_ms")).otherwise(F.col("create_ms")))
 
 
@@ -48,6 +56,25 @@ def unpaid_timeouts_exact(events: DataFrame, timeout_ms: int, delay_ms: int) ->
     return _fired(seen, F.col("_next").isNull() | (F.col("_then") - delay_ms - 1 >= F.col("create_ms") + timeout_ms), timeout_ms)
 
 
+def timeout_events(events: DataFrame, timeout_ms: int) -> DataFrame:
+    """The timeout events with all their fields, by intent."""
+    fired = unpaid_timeouts(events, timeout_ms)
+    more = [F.col(c).cast("string").alias(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in ("user_id", "sku_id", "pay_amount", "create_time", "timeout_time", "dt")]
+    return fired.join(events.select("order_id", "seq", *more), ["order_id", "seq"]).select(*TIMEOUT_FIELDS, "seq")
+
+
+def parse_timeout_events(raw: DataFrame) -> DataFrame:
+    """Timeout events from their messages (camelCase fields); rows without event or order id are dropped, absent times are 0."""
+    v = F.col("value")
+    columns = []
+    for name in TIMEOUT_FIELDS:
+        head, *rest = name.split("_")
+        camel = "$." + head + "".join(part.capitalize() for part in rest)
+        columns.append((json_long(v, camel) if name.endswith("_ms") else json_text(v, camel)).alias(name))
+    parsed = raw.select("seq", *columns)
+    return parsed.filter(~is_blank(F.col("timeout_event_id")) & ~is_blank(F.col("order_id")))
+
+
 def latest(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """Upsert semantics: the last row of each key."""
     names = [F.col(c) for c in rows.columns if c != key]

@@ -284,7 +284,7 @@ def timeout_upsert_latest(spark, sf_dir):
 
 
 @query("""SELECT time_bucket(INTERVAL '5 seconds', TIMESTAMP '2024-01-01' + to_seconds(doc_id)) AS window_start, word, count(*) AS n
-    FROM (SELECT doc_id, unnest(CASE WHEN text = '' THEN [''] ELSE string_split(regexp_replace(text, ' +$', ''), ' ') END) AS word FROM documents) GROUP BY ALL""")
+    FROM (SELECT doc_id, unnest(CASE WHEN text = '' THEN [''] WHEN trim(text, ' ') = '' THEN [] ELSE string_split(regexp_replace(text, ' +$', ''), ' ') END) AS word FROM documents) GROUP BY ALL""")
 def tumbling_word_count(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
