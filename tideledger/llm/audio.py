@@ -16,9 +16,9 @@ last filled up with silence, and stored as one Arrow IPC stream for each
 clip: columns start_s, end_s (the tensor's time span), n_frames, and tensor
 (arrow.fixed_shape_tensor of int16, in steps of 1 / SCALE). Segments are a second stream of spans.
 
-Long clips are worked through in fixed blocks of samples, so memory follows the
-block; every block has the same shape for any clip, so equal clips give equal
-features in any batch. Edge cases: a null clip counts as empty, and an empty
+Frames are worked through in fixed blocks; a clip itself is held whole, at about
+16 bytes a sample with its resampled signal. Every block has the same shape for
+any clip, so equal clips give equal features in any batch. Edge cases: a null clip counts as empty, and an empty
 clip still has one tensor; repeated rows give equal values; an empty table
 gives no rows; only the key and the clip's column are read, so that other
 columns cannot clash.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideledger.llm.common import read_table, text_bytes
+from tideledger.llm.common import in_small_batches, read_table, text_bytes
 
 RATE = 8000
 UP, DOWN = 3, 4
@@ -245,7 +245,7 @@ def stored_digest(media: pa.Array) -> pa.Array:
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = in_small_batches(read_table(spark, sf_dir, "documents")).select("doc_id", "text")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     stored = docs.select("doc_id", n_bytes, text_as_wav("text").alias("media"))
     read = stored.select("*", stored_digest("media").alias("d"), audio_features("media").alias("f"))

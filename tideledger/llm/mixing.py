@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import id_text, read_table, shuffle_partitions
+from tideledger.llm.common import id_text, packed, read_table, shuffle_partitions
 
 SEED = 42
 EXPONENT = 0.7
@@ -74,20 +74,21 @@ def poisson_steps(rate: Column) -> Column:
 def replicate(docs: DataFrame, rates: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = SEED, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Copies of the documents with ADDED columns: copy from 1, the source's rate, the shuffle key."""
     stepped = rates.select("_source", "rate", poisson_steps(F.col("rate")).alias("_steps"))
-    given = docs.drop(*ADDED)
-    same = F.col(f"`{source}`").eqNullSafe(F.col("_source"))
+    names = [c for c in docs.columns if c not in ADDED]
+    given, key_of = packed(docs.select(*[F.col(f"`{c}`") for c in names])), f"row.`{doc_id}`"
+    same = F.col(f"row.`{source}`").eqNullSafe(F.col("_source"))
     if len(rates.select("_source").limit(max_broadcast + 1).collect()) <= max_broadcast:
         joined = given.join(F.broadcast(stepped), same)
     else:
-        salt = F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(F.col(key_of), F.hash("row")), F.lit(SALTS)).cast("int")
         salted = stepped.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = given.withColumn("_salt", salt).join(salted, same & (F.col("_salt") == F.col("_salt_of"))).drop("_salt", "_salt_of")
-    name = id_text(f"`{doc_id}`")
+    name = id_text(key_of)
     uniform = (keyed_hash(52, F.lit(str(seed)), F.lit("copies"), name).cast("double") + 0.5) / F.lit(float(2**52))
     drawn = joined.withColumn("_u", uniform).withColumn("_n", F.size(F.filter("_steps", lambda c: c <= F.col("_u"))))
     copies = drawn.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     key = keyed_hash(60, F.lit(str(seed)), F.lit("order"), name, F.col("copy").cast("string"))
-    return copies.withColumn("shuffle_key", key).drop("_source", "_steps", "_u", "_n")
+    return copies.select(*[F.col(f"row.`{c}`") for c in names], "copy", "rate", key.alias("shuffle_key"))
 
 
 def shuffle_globally(copies: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -126,9 +126,13 @@ def fit_votes(patterns: list[tuple[str, int]], rounds: int = 200, most_false_ala
     EM over one good class and one bad class for each rule, votes independent
     given the class, an abstention no evidence. Several bad classes are needed
     because kinds of junk exclude each other: with a single one, junk that only
-    one rule knows would count as good for the other rules' votes. Class k is
-    fixed by rule k, which votes bad on at least `least_anchor` of it; among
-    good documents at most `most_false_alarms` of a rule's votes are bad.
+    one rule knows would count as good for the other rules' votes. Estimates
+    are free within two bounds that make the classes mean what they are named
+    for, as an unsupervised model can't tell by itself: class k is the kind of
+    junk that rule k was written for, so it votes bad on at least
+    `least_anchor` of it; among good documents at most `most_false_alarms` of a
+    rule's votes are bad. Without the first, classes trade places or melt into
+    the good one; without the second a common kind of junk passes for good.
     """
     if not patterns:
         return {}

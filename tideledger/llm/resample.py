@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import MIX_B, batch_tokens, byte_groups, checkpointed, read_table, splitmix, text_bytes
+from tideledger.llm.common import MIX_B, batch_tokens, byte_groups, checkpointed, in_small_batches, read_table, splitmix, text_bytes
 
 BUCKETS = 10_000
 MAX_TARGET = 20_000
@@ -68,8 +68,8 @@ def target_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
 
 def fit(docs: DataFrame, targets: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """log p_target - log p_raw of each bucket."""
-    marked = docs.select("doc_id", text).join(F.broadcast(targets.withColumn("_target", F.lit(True))), "doc_id", "left")
-    counted = marked.select(text, F.coalesce("_target", F.lit(False))).mapInArrow(_count_grams(buckets), "bucket long, raw long, target long")
+    marked = in_small_batches(docs).select("doc_id", F.col(f"`{text}`").alias("t")).join(F.broadcast(targets.withColumn("target", F.lit(True))), "doc_id", "left")
+    counted = marked.select("t", F.coalesce("target", F.lit(False))).mapInArrow(_count_grams(buckets), "bucket long, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for bucket, a, b in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[bucket], target[bucket] = a, b
@@ -135,7 +135,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tex
         share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
         share = 1.0 if share is None else share
     model = fit(docs, target_ids(labels, max_target), text, buckets)
-    scored = docs.select("doc_id", _scorer(model)(F.col(text)).alias("s")).select("doc_id", "s.*")
+    scored = docs.select("doc_id", _scorer(model)(F.col(f"`{text}`")).alias("s")).select("doc_id", "s.*")
     keys = checkpointed(scored.withColumn("key", F.col("log_weight") + gumbel(seed)))
     cut = kth_largest(keys, round(share * keys.count()))
     return keys if cut is None else keys.filter(F.col("key") >= cut)
