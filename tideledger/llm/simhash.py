@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import SEGMENT_BYTES, batch_tokens, byte_groups, checkpointed, few, in_small_batches, packed, read_table, release, splitmix, text_bytes, written
+from tideledger.llm.common import SEGMENT_BYTES, batch_tokens, byte_groups, checkpointed, discard, few, in_small_batches, packed, read_table, release, splitmix, text_bytes, written
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -405,9 +405,7 @@ def plausible(pairs: DataFrame, index: DataFrame, similarity: float) -> DataFram
     Every cell whose parities differ holds a shingle of just one of the texts,
     so at most (n + m - cells) / 2 are shared: a bound that loses no pair.
     """
-    wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    small = checkpointed(index.select("node", "n", "parity").join(F.broadcast(wanted) if few(wanted, MAX_BROADCAST) else wanted, "node", "left_semi"))
-    of = lambda c: small.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    of = lambda c: index.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     cells = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITIES // 64)), F.lit(0))
     total = F.col("n_a") + F.col("n_b")
@@ -442,7 +440,7 @@ def fingerprint_pairs(index: DataFrame, distance: int) -> DataFrame:
     same = index.join(first, "fp").filter("node <> first").select(*_ordered(F.col("node"), F.col("first")))
     linked = links(first.select("fp"), distance).select(F.col("a").alias("fp"), F.col("b").alias("fp_b"))
     near = linked.join(first, "fp").select(F.col("first").alias("a"), F.col("fp_b").alias("fp")).join(first, "fp").select(*_ordered(F.col("a"), F.col("first")))
-    return checkpointed(same.unionByName(near).distinct())
+    return same.unionByName(near)
 
 
 def shingle_rows(index: DataFrame) -> DataFrame:
@@ -501,20 +499,12 @@ def group_pairs(groups: DataFrame, similarity: float) -> DataFrame:
     return small.unionByName(_candidates(blocks, similarity)).distinct()
 
 
-def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that no component joins yet."""
-    for c in ("a", "b"):
-        of = roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        pairs = pairs.join(of, c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    return pairs.filter("a_root <> b_root").select("a", "b")
-
-
 def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """(node, root): the texts, by hash, that have near copies, with the smallest hash of their component.
 
     All pairs of distinct texts with the similarity end in one component. The
     generalised pigeonhole search finds fingerprints of the shingles within
-    `distance` bits, and their texts are verified. Fingerprints of texts at the
+    `distance` bits, and their texts are to be verified. Fingerprints of texts at the
     similarity itself lie some ten bits apart, beyond any search of the kind, so
     prefix filters complete it: with shingles in one order for all texts, two similar texts share one among the first
     n - ceil(similarity * n) + 1 of each. Any order is right; rare shingles
@@ -528,24 +518,22 @@ def similar_texts(docs: DataFrame, text: str = "text", words: int = VERIFY_WORDS
     sketched = in_small_batches(docs).select(F.xxhash64(column).alias("node"), _sketches(words, similarity, counts)(column).alias("p")).dropDuplicates(["node"])
     index = written(sketched.select("node", "p.*"), "sketches")
     release(spark)
-    pairs = fingerprint_pairs(index.select("node", "fp"), distance)
-    edges = _verified_copies(pairs, index, docs, text, words, similarity)
-    roots = checkpointed(components(edges))
     shared = written(shingle_rows(index), "shared")
     release(spark)
-    star = checkpointed(unconnected(hub_pairs(shared, similarity), roots).join(pairs, ["a", "b"], "left_anti"))
-    edges = checkpointed(edges.unionByName(_verified_copies(star, index, docs, text, words, similarity)))
+    pairs = checkpointed(fingerprint_pairs(index.select("node", "fp"), distance).unionByName(hub_pairs(shared, similarity)).distinct())
+    edges = _verified_copies(pairs, index, docs, text, words, similarity)
     roots = checkpointed(components(edges))
     release(spark)
-    known = pairs.unionByName(star)
     rooted = shared.select("shingle", "node", "place").join(F.broadcast(roots) if few(roots, MAX_BROADCAST) else roots, "node", "left").select("shingle", "node", "place", F.coalesce("root", "node").alias("root"))
     unsettled = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     groups = rooted.join(unsettled, "shingle").groupBy("shingle").agg(F.collect_list(F.struct("node", "place", "root")).alias("members"))
     rest = group_pairs(groups, similarity)
-    rest = checkpointed(rest.join(known, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return roots
-    return components(edges.unionByName(_verified_copies(rest, index, docs, text, words, similarity)))
+    rest = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        roots = checkpointed(components(edges.unionByName(_verified_copies(rest, index, docs, text, words, similarity))))
+    for table in (index, shared):
+        discard(table)
+    return roots
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = VERIFY_WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
