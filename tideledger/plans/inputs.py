@@ -52,11 +52,22 @@ SNAPSHOTS_SQL = _fill(SNAPSHOTS, False)
 CLICKS_SQL = _fill(CLICKS, False)
 
 
+#: The columns of each table that the derivations use, the key first.
+COLUMNS = {"orders": ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate"), "events": ("user_id", "event_id", "event_type", "ts", "props")}
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Deal the rows out by a key if the table has fewer splits than there are cores; a large table stays as it is read."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def _run(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
-    """The derivation over one table, dealt out by its key as a topic's partitions would be."""
-    keys = {"orders": "o_orderkey", "events": "user_id"}
-    dealt = spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), keys[table])
-    return spark.sql(_fill(sql, True).replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: dealt})
+    """The derivation over the columns it needs of one table."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*COLUMNS[table])
+    if table == "events":
+        rows = rows.filter(F.col("event_type").isin("click", "purchase", "signup"))
+    return spark.sql(_fill(sql, True).replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: spread(rows, COLUMNS[table][0])})
 
 
 def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
