@@ -278,3 +278,21 @@ def test_late_rows_count(spark, tmp_path):
     for q in jobs.timeout_upserts(spark, table, None):
         assert q.awaitTermination(60) and q.exception() is None
     assert read_upserted(spark, f"{table.table_dir}/order_unpaid_timeout").count() == len({s["orderId"] for s in sent})
+
+
+def test_gross_gmv_job(spark, tmp_path):
+    settings = Settings(message_dir=str(tmp_path / "m"), table_dir=str(tmp_path / "t"), checkpoint_dir=str(tmp_path / "c"))
+    made = sources.as_json(sources.mock_orders(spark, 60)).collect()
+    folder = tmp_path / "m" / sources.GROSS_ORDERS.name
+    folder.mkdir(parents=True)
+    short = json.dumps({"order_id": "a", "order_status": "PAID", "pay_amount": "1", "pay_time": "soon"})
+    lines = [{"seq": r.seq, "value": r.value} for r in made] + [{"seq": -1, "value": short}, {"seq": -2, "value": "["}]
+    for i in range(2):  # the second run goes on from the first's checkpoint and adds what is new
+        (folder / f"f{i}.json").write_text("\n".join(map(json.dumps, lines[i::2])))
+        for q in jobs.gross_gmv(spark, settings, None):
+            assert q.awaitTermination(90) and q.exception() is None
+    raw = spark.createDataFrame([(x["seq"], x["value"]) for x in lines], "seq long, value string")
+    want = {r.biz_date: r.gmv for r in orders.gross_gmv(orders.parse_orders(raw).filter("error is null")).collect()}
+    assert want and {r.biz_date: r.gmv for r in read_upserted(spark, f"{settings.table_dir}/daily_gross_gmv").collect()} == want
+    letters = spark.read.option("recursiveFileLookup", "true").parquet(f"{settings.table_dir}/gross_dead_letters")
+    assert sorted(r.code for r in letters.collect()) == ["MALFORMED_JSON", "PAY_TIME_IS_TOO_SHORT"]
