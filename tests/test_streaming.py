@@ -296,3 +296,18 @@ def test_gross_gmv_job(spark, tmp_path):
     assert want and {r.biz_date: r.gmv for r in read_upserted(spark, f"{settings.table_dir}/daily_gross_gmv").collect()} == want
     letters = spark.read.option("recursiveFileLookup", "true").parquet(f"{settings.table_dir}/gross_dead_letters")
     assert sorted(r.code for r in letters.collect()) == ["MALFORMED_JSON", "PAY_TIME_IS_TOO_SHORT"]
+
+
+def test_today_job(spark, tmp_path):
+    settings = Settings(message_dir=str(tmp_path / "m"), table_dir=str(tmp_path / "t"), checkpoint_dir=str(tmp_path / "c"), output_every_ms=1_000)
+    now = P._day(int(time.time() * 1000), settings.zone)
+    order = lambda name, amount, refund, status="PAID", day=now: json.dumps({"order_id": name, "order_status": status, "pay_amount": amount, "refund_amount": refund, "pay_time": f"{day} 00:00:01"})
+    values = [order("a", "10", "0"), order("b", "4.5", "1"), order("c", "9", "0", day=date(2001, 1, 1)), order("a", "10", "10", "REFUNDED"), order("d", "2", "0", "FINISHED")]
+    folder = tmp_path / "m" / sources.TODAY_ORDERS.name
+    folder.mkdir(parents=True)
+    (folder / "f.json").write_text("\n".join(json.dumps({"seq": i, "value": v}) for i, v in enumerate(values)))
+    path = tmp_path / "t" / "today_gmv"
+    shown = lambda: spark.read.option("recursiveFileLookup", "true").parquet(str(path)).collect() if list(path.glob("*/_SUCCESS")) else []
+    ready = lambda: any((str(r.gmv), r.paid_order_count) == ("5.50", 2) for r in shown())
+    assert _wait_for(ready, jobs.today_gmv(spark, settings, "500 milliseconds")), shown()
+    assert {r.dt for r in shown()} <= {now}

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideledger.functions.text import computed_once, is_blank, is_white, trimmed
-from tideledger.functions.times import local_datetime
+from tideledger.functions.times import local_datetime, next_boundary
 
 # fixed values: statuses of the order contract
 ZERO_STATUSES = ("UNPAID", "CANCELLED", "CANCELED", "CLOSED")
@@ -249,7 +249,7 @@ def clamped_running(changes: DataFrame) -> DataFrame:
 
 def snapshots(changes: DataFrame, time_ms: Column, every_ms: int) -> DataFrame:
     """The last value of each interval that saw a change: (biz_date, stat_ms, gmv)."""
-    stat = (F.floor(time_ms / every_ms) + 1) * every_ms
+    stat = next_boundary(time_ms, every_ms)
     upto = W.partitionBy("biz_date").orderBy("stat_ms")
     steps = changes.withColumn("stat_ms", stat).groupBy("biz_date", "stat_ms").agg(F.sum("delta").alias("d"))
     return steps.select("biz_date", "stat_ms", F.sum("d").over(upto).cast("decimal(18,2)").alias("gmv"))

@@ -25,7 +25,7 @@ from tideledger.config import Settings
 from tideledger.functions.text import is_blank
 from tideledger.functions.times import local_datetime
 from tideledger.operators import marketing, orders
-from tideledger.operators.timeouts import RULE_CODE, TIMEOUT_FIELDS, is_settled
+from tideledger.operators.timeouts import RULE_CODE, TIMEOUT_FIELDS, is_settled, word_counts
 
 DELTA = "order_id string, seq long, part int, biz_date date, delta decimal(38,10)"
 TOTAL = "biz_date date, gmv decimal(18,2), update_ms long"
@@ -387,6 +387,4 @@ def timeout_stream(events: DataFrame, settings: Settings) -> DataFrame:
 
 def word_stream(lines: DataFrame, width: str = "5 seconds", time_column: str = "timestamp", text: str = "value") -> DataFrame:
     """Words between single spaces of a socket stream, counted by the time they came in tumbling windows."""
-    from tideledger.operators.timeouts import word_counts
-
     return word_counts(lines, time_column, text, width)
