@@ -266,6 +266,19 @@ def test_pieces(docs):
     assert pieces.encode_documents(empty(docs)).count() == 0
 
 
+def test_copies_are_numbered_and_cut_differently(spark):
+    rows = [(1, prose(6, 200))] * 7 + [(1, "other")] * 2 + [(2, None)] * 4 + [(None, "x y")] * 3 + [(3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((d, t, i + 1) for (d, t), n in Counter(rows).items() for i in range(n))
+    for block in (1, 3, 64):
+        assert Counter(map(tuple, pieces.numbered_copies(docs, block).collect())) == want
+    coded = pieces.encode_documents(docs, copies=True).collect()
+    assert Counter(r.doc_id for r in coded) == Counter(d for d, _ in rows) and all(r.lossless for r in coded)
+    cuts = lambda found: {tuple(r.ids) for r in found if r.doc_id == 1 and r.n_tokens > 20}
+    assert len(cuts(coded)) == 7 and len(cuts(pieces.encode_documents(docs).collect())) == 1
+    assert pieces.encode_documents(docs.limit(0), copies=True).count() == 0
+
+
 def test_resampling(spark, docs):
     labels = docs.select("doc_id", F.when(F.col("doc_id") < 100, 1).otherwise(0).alias("quality"))
     drawn = resample.resample(docs, labels, share=0.5)

@@ -236,16 +236,18 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     kept = [r for r in rows if r[1] and len(r[1].split()) >= 20 and not r[1].startswith("!!!")]
     assert ids(good) == sorted((r[0] is None, r[0] or 0) for r in kept) and good.columns == list(corpus_pipeline.COLUMNS)
     lines = stage["line_dedup"](spark, good, sf_dir)
-    assert sum(line in r.text for r in lines.collect()) == 1 + 0 * lines.count() and lines.count() == good.count()
+    assert sum(line in r.text for r in lines.collect()) == 1 and lines.count() == good.count()
     near = stage["simhash_near_dedup"](spark, lines, sf_dir)
-    gone = {24, 25}  # the exact and the near copy
-    assert ids(near) == sorted({(r[0] is None, r[0] or 0) for r in kept} - {(False, i) for i in gone} | set()) or {i for _, i in ids(lines)} - {i for _, i in ids(near)} <= gone
+    # line dedup empties the exact and the near copy, 24 and 25, whose empty texts are then copies; one row of id 3 stays
+    assert ids(near) == sorted({(r[0] is None, r[0] or 0) for r in kept} - {(False, 25)})
     copies = {r.doc_id: r.n for r in stage["source_mixing"](spark, near, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     final = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter(r.doc_id for r in final) == copies and all(r.lossless for r in final)
     texts_of = {r.doc_id: r.text for r in near.collect()}
     model = pieces.load(pieces.read_model())
     assert all(model.decode(r.ids) == texts_of[r.doc_id] for r in final)
+    cuts = {(r.doc_id, tuple(r.ids)) for r in final if r.n_tokens > 50}
+    assert len(cuts) == sum(r.n_tokens > 50 for r in final)  # copies are cut differently
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):

@@ -21,7 +21,7 @@ in stretches that begin with a unit, so memory does not follow their length.
 
 Edge cases: a null text stays null; an empty text has no pieces; U+2581 in a
 text is coded as bytes, since as a piece it means a space; rows with equal id
-and text are encoded alike; an empty table gives no rows; input columns that
+and text are encoded alike unless `copies` is set; an empty table gives no rows; input columns that
 clash with an added column are replaced by it.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideledger.llm.common import in_small_batches, powers, read_table, splitmix
+from tideledger.llm.common import in_small_batches, powers, read_table, shuffle_partitions, splitmix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -50,6 +50,7 @@ MASKED_UNIT = 64
 MAX_CUTS = 1 << 17
 BATCH_CHARS = 1 << 18
 GROUP_BYTES = 1 << 22
+COPY_BLOCK = 64
 UNIT_START = re.compile("(?<! ) ")
 SPACE_MARK = "▁"
 NEVER = np.int64(1) << 62
@@ -493,10 +494,26 @@ def decoded(ids: Column, proto: bytes) -> Column:
     return _decoder(proto)(ids)
 
 
-def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_tokens, ids, lossless): pieces of each text, and whether they decode to it."""
-    coded = _coder(read_model(model_path), dropout)(F.col(f"`{text}`"), F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`")))
-    rows = in_small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), coded.alias("_coded"))
+def numbered_copies(docs: DataFrame, block: int = COPY_BLOCK) -> DataFrame:
+    """(doc_id, text, copy): every row, with a number from 1 among those of equal doc_id and text.
+
+    Equal rows are counted before the shuffle and drawn out again after it;
+    those of over `block` copies are dealt out by blocks.
+    """
+    counted = docs.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    few = counted.filter(F.col("n") <= block).select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    blocks = counted.filter(F.col("n") > block).select("doc_id", "text", "n", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(block).cast("long"))).alias("at"))
+    dealt = blocks.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "at")
+    most = F.least("n", F.col("at") + (block - 1))
+    return few.unionByName(dealt.select("doc_id", "text", F.explode(F.sequence("at", most)).alias("copy")))
+
+
+def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, copies: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids, lossless): pieces of each text, and whether they decode to it; with `copies`, equal rows are each cut in their own way."""
+    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    names = ["doc_id", "copy"] if copies else ["doc_id"]
+    coded = _coder(read_model(model_path), dropout)(F.col("text"), F.xxhash64(F.lit(seed), *[F.col(c) for c in names]))
+    rows = in_small_batches(numbered_copies(given) if copies else given).select("doc_id", coded.alias("_coded"))
     ids = F.col("_coded.ids")
     return rows.select("doc_id", F.size(F.coalesce(ids, F.array().cast("array<int>"))).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("_coded.lossless").alias("lossless"))
 
