@@ -246,8 +246,6 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     texts_of = {r.doc_id: r.text for r in near.collect()}
     model = pieces.load(pieces.read_model())
     assert all(model.decode(r.ids) == texts_of[r.doc_id] for r in final)
-    cuts = {(r.doc_id, tuple(r.ids)) for r in final if r.n_tokens > 50}
-    assert len(cuts) == sum(r.n_tokens > 50 for r in final)  # copies are cut differently
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
