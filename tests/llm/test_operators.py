@@ -250,6 +250,17 @@ def test_copies_are_verified_with_each_other(spark, monkeypatch):
     assert kept == brute_kept(rows) == [0, 1, 3]
 
 
+def test_shingles_of_all_texts_are_counted(spark):
+    texts = [prose(900 + i, 40) for i in range(30)] + [prose(899, 20)] * 300 + [None, "", "one two"]
+    got = simhash.shingle_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text", 5)
+    want = Counter()
+    for s in simhash.shingle_sets([(t or "").encode() for t in texts], 5):
+        want.update((s % np.uint64(simhash.CELLS)).tolist())
+    assert {int(c): int(got[c]) for c in np.flatnonzero(got)} == want
+    words = [(t or "").split() for t in texts]
+    assert got.sum() == sum(len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for w in words)
+
+
 def test_pieces(docs):
     import sentencepiece
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import MIX_B, batch_tokens, crc_bucket, read_table, splitmix, text_bytes, written
+from tideledger.llm.common import MIX_B, batch_tokens, crc_bucket, pack, read_table, splitmix, text_bytes, unpack, written
 
 CHUNK_BYTES = 8 << 20
 DEV_SHARE = 32
@@ -51,22 +51,6 @@ REQUEST = "chunk long, kind int, bucket long, keys binary, train binary, dev bin
 ANSWER = "chunk long, kind int, bucket long, train binary, n long, v long, n_main long, v_main long, p array<long>, w array<long>, c_main array<long>, c_dev array<long>"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Small whole numbers, compressed; those from 255 on are kept apart."""
-    big = np.flatnonzero(values >= 255)
-    small = np.minimum(values, 255).astype(np.uint8).tobytes()
-    body = len(values).to_bytes(8, "little") + len(big).to_bytes(8, "little") + small + big.astype("<u4").tobytes() + values[big].astype("<u8").tobytes()
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    body = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n, big = int.from_bytes(body[:8], "little"), int.from_bytes(body[8:16], "little")
-    values = np.frombuffer(body, np.uint8, n, 16).astype(np.int64)
-    values[np.frombuffer(body, "<u4", big, 16 + n)] = np.frombuffer(body, "<u8", big, 16 + n + 4 * big)
-    return values
-
-
 def _key_bytes(keys: np.ndarray, width: int) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideledger.llm.common import SEGMENT_BYTES, batch_tokens, byte_groups, checkpointed, discard, few, in_small_batches, packed, read_table, release, splitmix, text_bytes, written
+from tideledger.llm.common import SEGMENT_BYTES, batch_tokens, byte_groups, checkpointed, discard, few, in_small_batches, pack, packed, read_table, release, splitmix, text_bytes, unpack, written
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -56,7 +56,8 @@ SAMPLE = 2048
 VERIFY_WORDS = 5
 SIMILARITY = 0.8
 CELLS = 1 << 20
-COUNT_SHARE = 8
+#: Cells whose counts a task sends in one row.
+COUNT_BLOCK = 1 << 14
 BLOCK = 1024
 #: Members up to which a shingle's group is compared in the JVM.
 SMALL_GROUP = 64
@@ -307,22 +308,32 @@ def _sets(words: int):
 
 
 def shingle_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """How often shingles fall into each of CELLS cells, over one text in COUNT_SHARE."""
+    """How often shingles of all texts fall into each of CELLS cells: of no shingle are there more texts than its cell's count.
+
+    Each task sends its counts as compressed blocks of cells, at most a byte or so a cell however many shingles it read.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
             for s in shingle_sets(text_bytes(batch.column(0)), words):
                 np.add.at(counts, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
+        found = [(i, pack(block)) for i, block in enumerate(counts.reshape(-1, COUNT_BLOCK)) if block.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["block", "counts"])
 
-    column = F.col(f"`{text}`")
-    sampled = in_small_batches(docs).filter(F.pmod(F.xxhash64(F.xxhash64(column)), F.lit(COUNT_SHARE)) == 0).select(column)
-    found = sampled.mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return counts
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + unpack(blob)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
+
+    schema = "block long, counts binary"
+    found = in_small_batches(docs).select(F.col(f"`{text}`")).mapInArrow(partial, schema).repartition("block").mapInArrow(total, schema).collect()
+    counts = np.zeros((CELLS // COUNT_BLOCK, COUNT_BLOCK), np.int64)
+    for row in found:
+        counts[row.block] = np.frombuffer(row.counts, np.int64)
+    return counts.ravel()
 
 
 def majority(hashes: np.ndarray) -> np.uint64:
@@ -355,7 +366,7 @@ def _sketches(words: int, similarity: float, counts: np.ndarray):
             often = counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((s, often))
             order = order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
-            parts = -(-often[order] * COUNT_SHARE // HOT_ROWS)
+            parts = -(-often[order] // HOT_ROWS)
             sizes.append(len(s))
             prints.append(majority(s))
             parity.append(parities(s))
