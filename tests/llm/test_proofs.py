@@ -1,6 +1,7 @@
 """Operators against plain versions of their methods, and the pipeline against its stages."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -64,6 +65,20 @@ def test_interpolated_scores_are_plain(spark, monkeypatch):
     assert len(got) == len(rows) and weights[:, 2].max() > 0.01
 
 
+def test_counting_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    train = F.col("id") % 5 != 1
+    rows = spark.range(200).select((F.col("id") % 7).alias("chunk"), F.concat_ws(" ", F.lit("a b"), "id").alias("text"), train.alias("train"), (train & (F.col("id") % 4 == 0)).alias("dev"))
+    before, setting = shuffled(), spark.conf.get(interpolation.DROP_SHUFFLES)
+    answers = interpolation.gather(rows, 7)
+    until = time.monotonic() + 10  # files go in the background
+    while (left := shuffled() - before) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(interpolation.DROP_SHUFFLES) == setting
+    assert answers.agg(F.sum("n")).first()[0] == 160 * 4
+
+
 def test_held_out_weights_are_those_of_plain_em():
     rows = [(4, 5.0, 0.3, 0.02), (4, 2.0, 0.0, 0.01), (4, 1.0, 0.0, 0.0), (6, 3.0, 0.5, 0.1)]
     mix, v = [1 / 3] * 3, 99

@@ -29,8 +29,9 @@ and text share a chunk and score alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-import gc
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ KEY_BITS = 40
 KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 TOKEN, BIGRAM = 0, 1
 PRIOR = (0.1, 0.5, 0.4)
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 REQUEST = "chunk long, kind int, bucket long, keys binary, train binary, dev binary, at binary, left binary, right binary"
 ANSWER = "chunk long, kind int, bucket long, train binary, n long, v long, n_main long, v_main long, p array<long>, w array<long>, c_main array<long>, c_dev array<long>"
@@ -225,28 +227,32 @@ def _score(buckets: int, weights: np.ndarray, n: int, v: int):
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that only finished, checkpointed work needed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes in this block delete their shuffle files as they end; a garbage collection may leave them."""
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
 
 
 def gather(chunked: DataFrame, buckets: int) -> DataFrame:
     """The answers to every chunk, with the totals and held-out counts of every bucket in rows without a chunk."""
     asked = chunked.groupBy("chunk").applyInArrow(_ask(buckets), REQUEST)
-    return written(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWER), "answers")
+    with shuffles_dropped(chunked.sparkSession):
+        return written(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWER), "answers")
 
 
 def score_documents(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Score every text by a model of those where the condition `held_out` is false."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(f"`{text}`") + 16)).first()[0] or 1
     buckets = max(1, math.ceil(size / chunk_bytes))
     chunk = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(buckets)).alias("chunk")
     dev = F.pmod(F.xxhash64(F.lit("dev"), F.col(f"`{doc_id}`")), F.lit(DEV_SHARE)) == 0
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"), chunk, (~held_out).alias("train"), (~held_out & dev).alias("dev"))
     answers = gather(rows, buckets)
-    _release(spark)
     n, v, n_main, v_main = (x or 0 for x in answers.agg(*[F.sum(c) for c in ("n", "v", "n_main", "v_main")]).first())
     bins = held_out_bins(answers, n_main, v_main).collect()
     weights = learn_weights(sorted((r["b"], r["n"], r["q2"], r["q1"]) for r in bins), v_main)
